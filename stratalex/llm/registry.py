@@ -1,12 +1,15 @@
 """The queries of the corpus operators, and SQL where SQL can state their results."""
 
-from stratalex.llm import decontaminate
+from stratalex.llm import decontaminate, exact_dedup
 
 QUERIES = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+}
 
 
 def queries():

@@ -25,9 +25,10 @@ each task links the members of a key to the smallest one that it has seen and
 passes on only that one, and the smallest ones of all tasks are linked in the
 same way (a star of stars). Candidate links are verified on whole shingle
 sets. Where members of a key remain in different components, further rounds
-link the smallest member of each component, until nothing new is found; what
-is then still apart and was never compared is compared in full, so no link is
-lost.
+link the smallest member of each component; what is then still apart and was
+never compared is compared pair by pair, in blocks, first by the Hamming
+distance of whole sketches, which is at most |A ^ B|, and then by the sets, so
+no link is lost.
 
 Defined cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; repeated rows of a doc_id are documents of
@@ -45,11 +46,13 @@ from stratalex.llm.textkit import drop_scratch, mix, settle, shingle_sets, slice
 
 K = 4
 NUM, DEN = 85, 100
-RATIO = 1.6
-#: Bits of a part.
-WIDTH = 256
+RATIO = 1.2
+#: Bits of a part (as a power of two): so many that shingles rarely share one.
+WIDTH = 24
 #: Keys that a task sorts at once; each such block sends on one row per key.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
+#: Most bits of a document's sketch in the last round, and members of a key in one block there.
+SKETCH, MEET = 4096, 4096
 #: Positions of the bitmap of classes that have candidates (8 MB).
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
@@ -90,7 +93,7 @@ def keys_of(sets, offs, num=NUM, den=DEN):
         salt = np.repeat(b[at].astype(np.uint64), n)
         r = mix(h + salt * np.uint64(0x9E3779B97F4A7C15))
         part = ((r >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        bit = r & np.uint64(WIDTH - 1)
+        bit = r & np.uint64(2**WIDTH - 1)
         code = mix(bit + np.uint64(1) + salt * np.uint64(1_000_003))
         cell = base[row] + part
         total = int(base[-1])
@@ -100,13 +103,13 @@ def keys_of(sets, offs, num=NUM, den=DEN):
         value, weight = np.zeros(total, np.uint64), np.zeros(total, np.int64)
         value[sorted_cell[first]] = np.bitwise_xor.reduceat(sorted_code, first)
         # the weight of a part is the number of its set bits: of bits toggled an odd number of times
-        flip = np.sort(sorted_cell.astype(np.uint64) << np.uint64(8) | bit[order])
+        flip = np.sort(sorted_cell.astype(np.uint64) << np.uint64(WIDTH) | bit[order])
         head = np.flatnonzero(np.r_[True, flip[1:] != flip[:-1]])
         odd = np.diff(np.r_[head, len(flip)]) & 1
-        np.add.at(weight, (flip[head][odd == 1] >> np.uint64(8)).astype(np.int64), 1)
+        np.add.at(weight, (flip[head][odd == 1] >> np.uint64(WIDTH)).astype(np.int64), 1)
         cell_row = np.repeat(np.arange(len(at)), parts)
         cell_part = np.arange(total) - base[cell_row]
-        key = mix(value + mix(cell_part.astype(np.uint64) * np.uint64(64) + b[at][cell_row].astype(np.uint64)))
+        key = mix(value + mix(cell_part.astype(np.uint64) * np.uint64(256) + b[at][cell_row].astype(np.uint64)))
         # weakest first, within each document
         rank = (cell_row.astype(np.uint64) << np.uint64(40)) | (np.minimum(weight, 255).astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32))
         order = np.argsort(rank)
@@ -239,23 +242,73 @@ def _meet(batches):
 
 
 def _set_batches(k, bitmap):
-    """(cls, sorted shingle hashes of six bytes) of the classes that the bitmap marks, once for each task's slice."""
+    """(cls, d, sorted shingle hashes of six bytes) of the documents d that the bitmap marks."""
 
     def run(batches):
         marked = np.frombuffer(bitmap.value, np.uint8)
-        seen = set()
-        for _, data, offs in slices(batches):
-            hashes, first = words(data, offs)
-            sets, at = shingle_sets(hashes, first, k)
-            cls = class_ids(sets, at)
-            pos = (cls & (BITMAP - 1)).astype(np.int64)
-            keep = [i for i in np.flatnonzero(marked[pos >> 3] >> (pos & 7) & 1).tolist() if int(cls[i]) not in seen and at[i + 1] > at[i]]
-            keep = list({int(cls[i]): i for i in keep}.values())
-            if len(seen) < 1_000_000:
-                seen.update(int(cls[i]) for i in keep)
-            if keep:
-                blobs = [np.ascontiguousarray(sets[at[i] : at[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(blobs, pa.binary())], names=["cls", "hashes"])
+        for batch in batches:
+            pos = batch.column(0).fill_null(0).to_numpy() & (BITMAP - 1)
+            batch = batch.filter(pa.array(marked[pos >> 3] >> (pos & 7) & 1 > 0))
+            for part, data, offs in slices([batch]):
+                hashes, first = words(data, offs)
+                sets, at = shingle_sets(hashes, first, k)
+                six = np.ascontiguousarray(sets.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+                blobs = [six[6 * x : 6 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                marks = [bit_sketch(sets[x:y]) for x, y in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, at)), part.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], names=["cls", "d", "hashes", "sketch"])
+
+    return run
+
+
+def bit_sketch(own):
+    """The parity sketch of a set, as bytes: at least two bits for each shingle, a power of two, at most SKETCH."""
+    bits = min(SKETCH, max(64, 1 << int(2 * len(own)).bit_length()))
+    out = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(out.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _close(rows, num, den):
+    """Pairs of different roots that their sketches don't rule out.
+
+    rows: (cls, root, n, sketch) of one key and pair of blocks.
+    A sketch is folded to half its length by XOR of its halves.
+    """
+    rows.sort(key=lambda r: r[2])
+    n = np.array([r[2] for r in rows])
+    cls, root = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    words_ = [np.frombuffer(r[3], np.uint64) for r in rows]
+    size = np.array([len(w) for w in words_])
+    layers = {}
+    for k in sorted(set(size.tolist())):
+        layers[k] = np.stack([w if len(w) == k else np.bitwise_xor(w[:k], w[k:]) if len(w) == 2 * k else np.zeros(k, np.uint64) for w in words_])
+    for i in range(len(rows) - 1):
+        to = int(np.searchsorted(n, n[i] * den // num, "right"))
+        if to <= i + 1:
+            continue
+        k = int(size[i])
+        other = np.arange(i + 1, to)
+        other = other[(root[other] != root[i]) & (cls[other] != cls[i]) & (size[other] <= 2 * k)]
+        if len(other):
+            apart = np.bitwise_count(layers[k][other] ^ layers[k][i]).sum(1)
+            for j in other[(den + num) * apart.astype(np.int64) <= (den - num) * (n[i] + n[other])]:
+                yield (min(cls[i], cls[j]), max(cls[i], cls[j]))
+
+
+def _compare(num, den):
+    def run(batches):
+        last, rows, found = None, [], set()
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:3] != last:
+                    found.update(_close(rows, num, den))
+                    last, rows = r[:3], []
+                rows.append(r[3:])
+            if len(found) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found]) for i in (0, 1)], names=["a", "b"])
+                found = set()
+        found.update(_close(rows, num, den))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found]) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -324,11 +377,12 @@ def components(edges, name="components"):
             return root
 
 
-def _checked(edges, sets, num, den):
-    """(a, b, ok) of candidate links by their whole sets."""
-    left = edges.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
-    full = left.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
-    return full.mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean")
+def _checked(edges, reps, sets, num, den):
+    """(a, b, ok) of candidate links by the whole sets of one document of each class."""
+    to = edges.join(reps.select(F.col("cls").alias("b"), F.col("d").alias("db")), "b").join(reps.select(F.col("cls").alias("a"), F.col("d").alias("da")), "a")
+    left = to.join(sets.select(F.col("cls").alias("b"), F.col("d").alias("db"), F.col("hashes").alias("hb")), ["b", "db"])
+    full = left.join(sets.select(F.col("cls").alias("a"), F.col("d").alias("da"), F.col("hashes").alias("ha")), ["a", "da"]).select("a", "b", "ha", "hb")
+    return full.mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean").distinct()
 
 
 def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
@@ -341,19 +395,21 @@ def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
     met = settle(made.filter("kind = 3").select("deal", "blob").repartition("deal").mapInArrow(_meet, SHAPE), "met")
     found = made.filter("kind = 1").union(met.filter("kind = 1")).select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct()
     edges = settle(found, "candidates")
-    marks = spark.sparkContext.broadcast(bitmap_of(edges.select("a").union(edges.select("b")), "a"))
-    sets = settle(docs.mapInArrow(_set_batches(k, marks), "cls bigint, hashes binary").dropDuplicates(["cls"]), "sets")
-    tested = settle(_checked(edges, sets, num, den), "tested")
+    nodes = edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct()
+    reps = settle(rows.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("d")), "reps")
+    marks = spark.sparkContext.broadcast(bitmap_of(reps, "d"))
+    sets = settle(docs.mapInArrow(_set_batches(k, marks), "cls bigint, d bigint, hashes binary, sketch binary"), "sets")
+    tested = settle(_checked(edges, reps, sets, num, den), "tested")
     drop_scratch(edges)
     root = components(tested.filter("ok"))
     apart = tested.filter("not ok").limit(1).count()
     if apart:
         members = _members(made, met, tested)
         for full in [False] * rounds + [True]:
-            more = settle(_apart(members, root, tested, full), "apart")
+            more = settle(_apart_all(members, root, tested, reps, sets, num, den) if full else _apart_stars(members, root, tested), "apart")
             if not more.limit(1).count():
                 continue
-            result = settle(_checked(more, sets, num, den), "retested")
+            result = settle(_checked(more, reps, sets, num, den), "retested")
             tested = settle(tested.union(result), "tested")
             if result.filter("ok").limit(1).count():
                 root = components(tested.filter("ok"))
@@ -379,18 +435,33 @@ def _members(made, met, tested):
     return settle(all_.union(lows).join(keys, "key", "left_semi").distinct(), "members")
 
 
-def _apart(members, root, tested, full):
-    """Untested pairs of classes that share a key but no component: of the smallest of each component, or all."""
-    at = members.join(root, members.cls == root.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    if full:
-        span = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        own = at.join(span, "key", "left_semi")
-        pairs = own.alias("x").join(own.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")))
-        pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    else:
-        lead = at.groupBy("key", "root").agg(F.min("cls").alias("cls"))
-        low = lead.groupBy("key").agg(F.min("cls").alias("a"))
-        pairs = lead.join(low, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+def _rooted(members, root):
+    return members.join(root, members.cls == root.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+
+
+def _apart_stars(members, root, tested):
+    """Untested links from the smallest class of a key to the smallest of each other component in it."""
+    lead = _rooted(members, root).groupBy("key", "root").agg(F.min("cls").alias("cls"))
+    low = lead.groupBy("key").agg(F.min("cls").alias("a"))
+    pairs = lead.join(low, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _apart_all(members, root, tested, reps, sets, num, den):
+    """All untested pairs that share a key but no component and whose sketches differ in few enough bits.
+
+    The members of a key meet in blocks of about MEET: a member goes to each
+    pair of blocks that its own is part of, so no task holds more than two
+    blocks however many members a key has.
+    """
+    at = _rooted(members, root)
+    span = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    own = at.join(span.select("key", F.ceil(F.col("size") / MEET).cast("int").alias("blocks")), "key")
+    marks = sets.join(reps, ["cls", "d"], "left_semi").select("cls", F.expr("octet_length(hashes) div 6").alias("n"), "sketch").dropDuplicates(["cls"])
+    own = own.join(marks, "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch")
+    pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -23,10 +23,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes of the batches that Python workers get and send.
+BATCH_BYTES = 8_000_000
+
+
 def table(spark, sf_dir, name):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark):
+    """Arrow batches by bytes, so that a worker's memory doesn't depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark):
     """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +66,7 @@ def scratch_path(spark, name):
 def settle(df, name):
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

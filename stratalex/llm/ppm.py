@@ -2,7 +2,7 @@
 
 A trie of byte contexts of up to ORDER bytes holds how often each byte followed
 each context in the training texts. A byte that a context has not seen costs
-the context's escape (method C: distinct / (total + distinct)) and is then
+the context's escape (method D: half of distinct / total, each count less half) and is then
 predicted by the next shorter context, from whose counts all bytes that the
 longer one has seen are excluded; below the empty context all bytes that are
 left are equally likely. Since the trie is fixed when texts are scored, the
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from stratalex.llm.textkit import LOWER, WHITE, drop_scratch, settle, slices, span_hashes, spans, table
 
-ORDER = 4
+ORDER = 5
 END = 256
 #: Cells of the automaton's tables; each has a cost and a next state of four bytes.
 ENTRIES = 2**23
@@ -66,7 +66,7 @@ def canonical(data, offs):
 
 
 def symbols(data, offs):
-    """Four ENDs before the first document and after each: (symbols, start of each document); its first END is scored."""
+    """ORDER ENDs before the first document and after each: (symbols, start of each document); its first END is scored."""
     docs = len(offs) - 1
     out = np.full(len(data) + ORDER * (docs + 1), END, np.int16)
     out[np.arange(len(data)) + np.repeat(np.arange(1, docs + 1) * ORDER, np.diff(offs))] = data
@@ -139,7 +139,6 @@ def automaton(rows, order=ORDER):
     if not len(sym):
         return columns, np.full((1, 1), -np.log10(257), np.float32), np.zeros((1, 1), np.int32)
     unseen = 257 - len(seen)
-    base = -1
     costs, nexts, index, totals, kinds, hold = [], [], [], [], [], []
     for k in range(order + 1):
         own = length == k
@@ -152,7 +151,6 @@ def automaton(rows, order=ORDER):
         np.add.at(total, row, n[own].astype(float))
         distinct = np.bincount(row, minlength=len(keys)).astype(float)
         cost = np.empty((len(keys), width), np.float32)
-        base += 1
         index.append(keys)
         totals.append(total)
         kinds.append(distinct)
@@ -161,11 +159,11 @@ def automaton(rows, order=ORDER):
             part = slice(a, a + 4096)
             c = counts[part].astype(float)
             t, d = total[part][:, None], distinct[part][:, None]
-            escape = d / (t + d)
+            escape = d / 2 / t
             with np.errstate(divide="ignore", invalid="ignore"):
                 if k == 0:
                     # what no count has: equal shares of the escape; column 0 holds the share of one unseen symbol
-                    p = np.where(c > 0, c / (t + d), escape / max(1, unseen))
+                    p = np.where(c > 0, (c - 0.5) / t, escape / max(1, unseen))
                 else:
                     up = np.searchsorted(index[k - 1], keys[part] & ((1 << (9 * (k - 1))) - 1))
                     cu, tu, du = hold[k - 1][up].astype(float), totals[k - 1][up][:, None], kinds[k - 1][up][:, None]
@@ -173,10 +171,10 @@ def automaton(rows, order=ORDER):
                     left = tu - np.where(c > 0, cu, 0).sum(1, keepdims=True)
                     rest = du - d
                     # a symbol of the shorter context, the longer one's excluded
-                    there = np.where(left + rest > 0, cu / (left + rest), 0)
+                    there = np.where(left > 0, (cu - 0.5) / left, 0)
                     # a symbol of neither: the shorter context's own escape, corrected for the exclusion
-                    under = np.where(rest > 0, rest / (left + rest), 1.0) * below * (tu + du) / du
-                    p = np.where(c > 0, c / (t + d), escape * np.where(cu > 0, there, under))
+                    under = np.where(rest > 0, rest / 2 / left, 1.0) * below * tu / (du / 2)
+                    p = np.where(c > 0, (c - 0.5) / t, escape * np.where(cu > 0, there, under))
                 cost[part] = np.log10(p)
         costs.append(cost)
     starts = np.cumsum([0] + [len(x) for x in index])
@@ -343,10 +341,10 @@ def brute(texts, order=ORDER):
                 live = {x: n for x, n in c.items() if x not in out}
                 t, d = sum(live.values()), len(live)
                 if s[i] in live:
-                    p *= live[s[i]] / (t + d)
+                    p *= (live[s[i]] - 0.5) / t
                     break
-                if t + d:
-                    p *= d / (t + d)
+                if t:
+                    p *= d / 2 / t
                 out |= set(c)
             else:
                 p *= 1 / (257 - len(out))

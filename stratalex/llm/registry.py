@@ -1,8 +1,9 @@
 """The queries of the corpus operators, and SQL where SQL can state their results."""
 
-from stratalex.llm import decontaminate, exact_dedup, jaccard_join
+from stratalex.llm import decontaminate, exact_dedup, jaccard_join, ppm
 
 QUERIES = {
+    "op1_lm_scoring": ppm.op1_lm_scoring,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,

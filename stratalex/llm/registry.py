@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and SQL where SQL can state their results."""
 
-from stratalex.llm import decontaminate, exact_dedup, jaccard_join, ppm
+from stratalex.llm import decontaminate, exact_dedup, jaccard_join, ppm, token_orc
 
 QUERIES = {
     "op1_lm_scoring": ppm.op1_lm_scoring,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op6_token_id_output": token_orc.op6_token_id_output,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import drop_scratch, mix, settle, shingle_sets, slices, table, words
+from stratalex.llm.textkit import drop_scratch, mix, settle, shingle_sets, slices, small_batches, table, words
 
 K = 4
 NUM, DEN = 85, 100
@@ -184,16 +184,22 @@ def _unpack(blob):
 
 
 def _flush(pairs, bits):
-    """What a block of pairs leaves: its links (kind 1), its members beyond singletons (kind 2), one pair per key (kind 3)."""
+    """What a block of pairs leaves: its links (kind 1), the members of shared keys (kind 2), one pair per key (kind 3)."""
     key, cls = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
     keys, lows, low, other, at = _stars((key, cls))
-    for kind, (a, b) in ((2, (at, other)), (3, (keys, lows))):
+    shared = np.isin(keys, at)
+    for kind, (a, b) in ((2, (np.r_[at, keys[shared]], np.r_[other, lows[shared]])), (3, (keys, lows))):
         got = list(_pack(a, b, bits))
         for i in range(0, len(got), 64):
             yield _rows(kind, deal=np.array([x for x, _ in got[i : i + 64]], np.int32), blob=[x for _, x in got[i : i + 64]])
     a, b = _distinct(low, other)
     if len(a):
-        yield _rows(1, cls=a, n=b)
+        yield _rows(1, deal=_any_deal(a, bits), cls=a, n=b)
+
+
+def _any_deal(x, bits):
+    """Rows that may be anywhere are dealt evenly."""
+    return (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _sketch_batches(k, num, den, bits):
@@ -203,7 +209,7 @@ def _sketch_batches(k, num, den, bits):
             hashes, first = words(data, offs)
             sets, at = shingle_sets(hashes, first, k)
             cls = class_ids(sets, at)
-            yield _rows(0, doc_id=batch.column(0), n=np.diff(at), cls=cls)
+            yield _rows(0, deal=_any_deal(mix(cls.view(np.uint64) + np.arange(len(cls), dtype=np.uint64)), bits), doc_id=batch.column(0), n=np.diff(at), cls=cls)
             new = np.unique(cls, return_index=True)[1]  # one of each class of the slice
             keep = np.zeros(len(cls), bool)
             keep[new] = True
@@ -222,23 +228,25 @@ def _sketch_batches(k, num, den, bits):
 
 
 def _meet(batches):
-    """Pairs (key, class) of a deal's rows together: links of the smallest class of each key to the others, and all members of such keys."""
-    got, bits = {}, 10
+    """Hands on rows of kinds 0 to 2; pairs (kind 3) of a deal meet: links of the smallest class of each key to the others, and the members of such keys."""
+    got = {}
     for batch in batches:
-        for deal, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            got.setdefault(deal, []).append(_unpack(blob.as_py()))
+        kind = batch.column(0).to_numpy()
+        if (kind < 3).any():
+            yield batch.filter(pa.array(kind < 3))
+        batch = batch.filter(pa.array(kind == 3))
+        for deal, blob in zip(batch.column(1).to_pylist(), batch.column(5)):
+            got.setdefault(deal, []).append(blob.as_py())
     for deal in sorted(got):
-        pairs = got.pop(deal)
+        pairs = [_unpack(x) for x in got.pop(deal)]
         key, cls = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
         keys, lows, low, other, at = _stars((key, cls))
         a, b = _distinct(low, other)
         if len(a):
             yield _rows(1, cls=a, n=b)
-        for d, blob in _pack(at, other, bits):
-            yield _rows(2, deal=np.array([d], np.int32), blob=[blob])
-        many = np.isin(keys, at)
-        for d, blob in _pack(keys[many], lows[many], bits):
-            yield _rows(2, deal=np.array([d], np.int32), blob=[blob])
+        shared = np.isin(keys, at)
+        for _, blob in _pack(np.r_[at, keys[shared]], np.r_[other, lows[shared]], 4):
+            yield _rows(2, deal=np.array([deal], np.int32), blob=[blob])
 
 
 def _set_batches(k, bitmap):
@@ -377,42 +385,65 @@ def components(edges, name="components"):
             return root
 
 
-def _checked(edges, reps, sets, num, den):
-    """(a, b, ok) of candidate links by the whole sets of one document of each class."""
-    to = edges.join(reps.select(F.col("cls").alias("b"), F.col("d").alias("db")), "b").join(reps.select(F.col("cls").alias("a"), F.col("d").alias("da")), "a")
-    left = to.join(sets.select(F.col("cls").alias("b"), F.col("d").alias("db"), F.col("hashes").alias("hb")), ["b", "db"])
-    full = left.join(sets.select(F.col("cls").alias("a"), F.col("d").alias("da"), F.col("hashes").alias("ha")), ["a", "da"]).select("a", "b", "ha", "hb")
-    return full.mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean").distinct()
+def _near(num, den):
+    """Marks candidate links whose sizes and sketches allow the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+            for i in np.flatnonzero(ok):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                ok[i] = (den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * int(na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "near"])
+
+    return run
+
+
+def _checked(edges, marks, sets, num, den):
+    """(a, b, ok) of candidate links: by the sketches, then by the whole sets of one document of each class."""
+    to = edges.select("a", "b")
+    for x in "ab":
+        to = to.join(marks.select(F.col("cls").alias(x), F.col("n").alias("n" + x), F.col("d").alias("d" + x), F.col("sketch").alias("s" + x)), x)
+    near = settle(to.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(num, den), "a bigint, b bigint, near boolean"), "near")
+    full = near.filter("near").select("a", "b")
+    for x in "ba":
+        full = full.join(marks.select(F.col("cls").alias(x), F.col("d").alias("d" + x)), x)
+        full = full.join(sets.select(F.col("cls").alias(x), F.col("d").alias("d" + x), F.col("hashes").alias("h" + x)), [x, "d" + x])
+    sure = full.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean").distinct()
+    return sure.union(near.filter("not near"))
 
 
 def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bits = deal_bits(docs.rdd.getNumPartitions())
-    made = settle(docs.mapInArrow(_sketch_batches(k, num, den, bits), SHAPE), "sketches")
+    made = settle(docs.mapInArrow(_sketch_batches(k, num, den, bits), SHAPE).repartition("deal").mapInArrow(_meet, SHAPE), "sketches")
     rows = made.filter("kind = 0").select("doc_id", "n", "cls")
-    met = settle(made.filter("kind = 3").select("deal", "blob").repartition("deal").mapInArrow(_meet, SHAPE), "met")
-    found = made.filter("kind = 1").union(met.filter("kind = 1")).select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct()
-    edges = settle(found, "candidates")
+    edges = settle(made.filter("kind = 1").select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct()
-    reps = settle(rows.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("d")), "reps")
-    marks = spark.sparkContext.broadcast(bitmap_of(reps, "d"))
-    sets = settle(docs.mapInArrow(_set_batches(k, marks), "cls bigint, d bigint, hashes binary, sketch binary"), "sets")
-    tested = settle(_checked(edges, reps, sets, num, den), "tested")
-    drop_scratch(edges)
+    reps = settle(rows.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")), "reps")
+    held = spark.sparkContext.broadcast(bitmap_of(reps, "d"))
+    sets = settle(docs.mapInArrow(_set_batches(k, held), "cls bigint, d bigint, hashes binary, sketch binary"), "sets")
+    marks = settle(reps.join(sets.select("cls", "d", "sketch"), ["cls", "d"]).dropDuplicates(["cls"]), "marks")
+    tested = settle(_checked(edges, marks, sets, num, den), "tested")
     root = components(tested.filter("ok"))
-    apart = tested.filter("not ok").limit(1).count()
-    if apart:
-        members = _members(made, met, tested)
+    if tested.filter("not ok").limit(1).count():
+        members = _members(made, tested)
         for full in [False] * rounds + [True]:
-            more = settle(_apart_all(members, root, tested, reps, sets, num, den) if full else _apart_stars(members, root, tested), "apart")
+            more = settle(_apart_all(members, root, tested, marks, num, den) if full else _apart_stars(members, root, tested), "apart")
             if not more.limit(1).count():
                 continue
-            result = settle(_checked(more, reps, sets, num, den), "retested")
+            result = settle(_checked(more, marks, sets, num, den), "retested")
             tested = settle(tested.union(result), "tested")
             if result.filter("ok").limit(1).count():
                 root = components(tested.filter("ok"))
+    drop_scratch(sets)
     size = rows.join(root, rows.cls == root.node, "left").select("doc_id", "n", "cls", F.coalesce("root", "cls").alias("root"))
     low = size.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     full = size.filter("n > 0").join(low, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -426,13 +457,12 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
 
-def _members(made, met, tested):
-    """(key, cls) of the keys in which a failed link's class occurs and that several classes share."""
-    all_ = made.filter("kind = 2").select("blob").union(met.filter("kind = 2").select("blob")).mapInArrow(_spread, "key bigint, cls bigint")
-    lows = made.filter("kind = 3").select("blob").mapInArrow(_spread, "key bigint, cls bigint")
+def _members(made, tested):
+    """(key, cls) of the keys that several classes share, where a failed link's class occurs."""
+    shared = made.filter("kind = 2").select("blob").mapInArrow(_spread, "key bigint, cls bigint")
     failed = tested.filter("not ok").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = settle(all_.join(failed, "cls", "left_semi").select("key").distinct(), "open-keys")
-    return settle(all_.union(lows).join(keys, "key", "left_semi").distinct(), "members")
+    keys = settle(shared.join(failed, "cls", "left_semi").select("key").distinct(), "open-keys")
+    return settle(shared.join(keys, "key", "left_semi").distinct(), "members")
 
 
 def _rooted(members, root):
@@ -447,7 +477,7 @@ def _apart_stars(members, root, tested):
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _apart_all(members, root, tested, reps, sets, num, den):
+def _apart_all(members, root, tested, marks, num, den):
     """All untested pairs that share a key but no component and whose sketches differ in few enough bits.
 
     The members of a key meet in blocks of about MEET: a member goes to each
@@ -457,8 +487,7 @@ def _apart_all(members, root, tested, reps, sets, num, den):
     at = _rooted(members, root)
     span = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     own = at.join(span.select("key", F.ceil(F.col("size") / MEET).cast("int").alias("blocks")), "key")
-    marks = sets.join(reps, ["cls", "d"], "left_semi").select("cls", F.expr("octet_length(hashes) div 6").alias("n"), "sketch").dropDuplicates(["cls"])
-    own = own.join(marks, "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = own.join(marks.select("cls", "n", "sketch"), "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch")
     pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()

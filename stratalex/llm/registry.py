@@ -1,9 +1,11 @@
 """The queries of the corpus operators, and SQL where SQL can state their results."""
 
-from stratalex.llm import decontaminate, exact_dedup, jaccard_join, ppm, token_orc
+from stratalex.llm import decontaminate, exact_dedup, jaccard_join, mixing, ppm, token_orc, toxicity
 
 QUERIES = {
     "op1_lm_scoring": ppm.op1_lm_scoring,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op6_token_id_output": token_orc.op6_token_id_output,
@@ -11,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_mixing": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
 

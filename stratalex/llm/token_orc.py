@@ -8,10 +8,10 @@ of parallel reads, row-index strides carry the least and largest doc_id and,
 with a Bloom filter on doc_id, let a lookup skip stripes and strides.
 
 Encoding: byte-level BPE pieces never cross the place before a single space
-between two other characters, so a text is cut there and each distinct piece
-of a batch is encoded once, by the tokenizers library; texts in which white
-space doesn't stand alone, or that hold a special token's string, are encoded
-whole.
+between two other characters, so a text is cut there and each distinct piece,
+known by a 64-bit hash, is encoded once in a while, by the tokenizers library;
+texts in which white space doesn't stand alone, or that hold a special token's
+string, are encoded whole.
 
 Defined cases: a null text is empty (its ids are the end id alone); rows of
 equal doc_id are ordered by their ids; a null doc_id sorts first; an empty
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import WHITE, scratch_path, settle, slices, small_batches, table, text_bytes
+from stratalex.llm.textkit import WHITE, scratch_path, settle, slices, small_batches, span_hashes, spans, table
 
 END_ID = 2
 STRIPE_BYTES = 16 * 2**20
@@ -41,29 +41,37 @@ def vocabulary(name="byte_bpe_50k.json"):
     return public_tokenizers.path(name)
 
 
-def _tokenizer(source):
-    from tokenizers import Tokenizer
+def _held():
+    """Pieces that this worker process has encoded, by tokenizer: kept on the library's module, which outlives a task."""
+    import tokenizers
 
-    return Tokenizer.from_str(source)
+    if not hasattr(tokenizers, "_stratalex_pieces"):
+        tokenizers._stratalex_pieces = {}
+    return tokenizers._stratalex_pieces
 
 
 class Encoder:
-    """Ids of whole texts by way of their distinct pieces."""
+    """Ids of whole texts by way of their distinct pieces, which are known by 64-bit hashes."""
 
-    def __init__(self, source, held=1_000_000):
+    def __init__(self, source, held=2_000_000):
         import json
 
-        self.tokenizer = _tokenizer(source)
+        from tokenizers import Tokenizer
+
+        key = hash(source)
+        self.tokenizer = Tokenizer.from_str(source)
         told = json.loads(source)
         pre = told.get("pre_tokenizer") or {}
         self.by_pieces = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = [x["content"] for x in told.get("added_tokens", [])]
-        self.known, self.held = {}, held
         # the characters of a byte-level token stand for one byte each
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes[i] = len(token)
+        none = np.zeros(0, np.int64)
+        self.cache = _held().setdefault(key, {"keys": none.astype(np.uint64), "at": none, "size": none, "pool": none.astype(np.int32)})
+        self.held = held
 
     def whole(self, texts):
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,78 +79,101 @@ class Encoder:
     def odd(self, texts, data, offs):
         """Which texts are encoded whole: white space next to white space or at an end, rarer white space, special strings."""
         n = len(data)
-        after = np.zeros(n, np.uint8)
+        if not self.by_pieces or not n:
+            return np.ones(len(texts), bool)
+        after = np.full(n, 32, np.uint8)
         after[:-1] = data[1:]
-        after[offs[1:][offs[1:] > 0] - 1] = 32  # a text's end counts as white space
-        space = data == 32
-        bad = (space & WHITE[after]) | (WHITE[data] & (after == 32) & (np.arange(1, n + 1) < n))
+        full = offs[1:] > offs[:-1]
+        starts, ends = offs[:-1][full], offs[1:][full] - 1
+        after[ends] = 32  # a text's end counts as white space
+        white, space = WHITE[data], data == 32
+        bad = (white & (after == 32)) | (space & WHITE[after])
         bad |= (data == 11) | ((data >= 28) & (data <= 31)) | (data == 225) | (data == 226) | (data == 227) | ((data == 194) & ((after == 133) | (after == 160)))
-        ends = offs[1:][offs[1:] > offs[:-1]] - 1
-        bad[ends] = space[ends] | bad[ends] & ~WHITE[data[ends]]
-        starts = offs[:-1][offs[1:] > offs[:-1]]
         bad[starts] |= space[starts]
         count = np.concatenate([[0], np.cumsum(bad)])
         out = np.diff(count[offs]) > 0
         for s in self.special:
             out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        return out if self.by_pieces else np.ones(len(texts), bool)
-
-    def __call__(self, texts, data=None, offs=None):
-        """The ids of each text."""
-        if data is None:
-            data, offs = text_bytes(texts)
-        odd = self.odd(texts, data, offs)
-        plain = texts.filter(pa.array(~odd))
-        out = [None] * len(texts)
-        if len(plain):
-            parts = pc.split_pattern(plain, " ")
-            bounds = parts.offsets.to_numpy()
-            bounds = bounds - bounds[0]
-            coded = parts.flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            at = coded.indices.to_numpy().copy()
-            # a text's first piece has no space before it
-            head = at[bounds[:-1]]
-            firsts, back = np.unique(head, return_inverse=True)
-            at[bounds[:-1]] = len(words) + back
-            ids, starts = self.encode_pieces([" " + w for w in words], [words[i] for i in firsts])
-            size = np.diff(starts)[at]
-            ends = np.cumsum(size)
-            flat = ids[np.arange(int(ends[-1])) + np.repeat(starts[at] - (ends - size), size)]
-            per = np.concatenate([[0], ends])[bounds]
-            for i, a, b in zip(np.flatnonzero(~odd).tolist(), per[:-1].tolist(), per[1:].tolist()):
-                out[i] = flat[a:b]
-        rest = np.flatnonzero(odd)
-        if len(rest):
-            for i, got in zip(rest, self.whole(texts.filter(pa.array(odd)).to_pylist())):
-                out[i] = got
         return out
 
-    def encode_pieces(self, pieces, firsts):
-        """(ids of all pieces, then of all firsts, after one another; where each begins). pieces begin with a space."""
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self.held:
-            known.clear()
-            new = pieces
-        # pieces that end with something else than white space may stand after one another in one text
-        alone = [p for p in new if p[-1].isspace()]
-        chain = [p for p in new if not p[-1].isspace()] if alone else new
-        for p, got in zip(alone, self.whole(alone)):
-            known[p] = got.tobytes()
-        if chain:
-            texts = ["".join(chain[i : i + 256]) for i in range(0, len(chain), 256)]
-            ids = np.concatenate(self.whole(texts))
-            ends = np.cumsum(self.bytes[ids])
-            sizes = np.cumsum(pc.binary_length(pa.array(chain)).to_numpy())
-            cut = np.searchsorted(ends, sizes)
-            if not np.array_equal(ends[cut], sizes):
-                raise ValueError("an id crosses a piece's edge")
-            raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
-            known.update(zip(chain, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
-        raw = [*map(known.__getitem__, pieces), *(x.tobytes() for x in self.whole(firsts))]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        return np.frombuffer(b"".join(raw), np.int32), np.concatenate([[0], np.cumsum(lens)]) // 4
+    def __call__(self, texts, data, offs, end_id):
+        """(ids of all texts after one another, each with the end id; where each text's begin)."""
+        odd = self.odd(texts, data, offs)
+        docs = len(texts)
+        starts, ends, first = spans(data != 32, offs)
+        doc = np.repeat(np.arange(docs), np.diff(first))
+        keep = ~odd[doc]
+        head = np.zeros(len(starts), bool)
+        head[first[:-1][np.diff(first) > 0]] = True
+        h = span_hashes(data, starts, ends, fold=False) ^ np.where(head, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        starts, ends, doc, head, h = (x[keep] for x in (starts, ends, doc, head, h))
+        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
+        at, size = self.pieces(keys, data, starts[where], ends[where], head[where])
+        at, size = at[back], size[back]
+        whole = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts.filter(pa.array(odd)).to_pylist()))) if odd.any() else {}
+        lens = np.bincount(doc, size, docs).astype(np.int64) if len(doc) else np.zeros(docs, np.int64)
+        for i, x in whole.items():
+            lens[i] = len(x)
+        begin = np.concatenate([[0], np.cumsum(lens + 1)])
+        out = np.full(int(begin[-1]), end_id, np.int32)
+        if len(doc):
+            before = np.cumsum(size) - size
+            low = np.searchsorted(doc, np.arange(docs))
+            to = begin[:-1][doc] + before - before[np.minimum(low, len(doc) - 1)][doc]
+            step = np.arange(int(size.sum())) - np.repeat(before, size)
+            out[np.repeat(to, size) + step] = self.cache["pool"][np.repeat(at, size) + step]
+        for i, x in whole.items():
+            out[begin[i] : begin[i] + len(x)] = x
+        return out, begin
+
+    def pieces(self, keys, data, starts, ends, head):
+        """Where the ids of sorted distinct pieces are in the pool, and how many."""
+        c = self.cache
+        pos = np.minimum(np.searchsorted(c["keys"], keys), max(0, len(c["keys"]) - 1))
+        new = c["keys"][pos] != keys if len(c["keys"]) else np.ones(len(keys), bool)
+        if len(c["keys"]) + int(new.sum()) > self.held and len(c["keys"]):
+            for k in c:
+                c[k] = c[k][:0]
+            new = np.ones(len(keys), bool)
+        if new.any():
+            n = np.flatnonzero(new)
+            # pieces that follow a space and end with something else than white space may stand after one another in one text
+            alone = head[n] | WHITE[data[ends[n] - 1]]
+            chain, apart = n[~alone], n[alone]
+            pool, count = [], []
+            raw = data.tobytes()
+            if len(chain):
+                text, sizes = [], ends[chain] - starts[chain] + 1
+                spots = np.cumsum(sizes)
+                joined = np.full(int(spots[-1]), 32, np.uint8)
+                inner = np.arange(int(spots[-1])) - np.repeat(spots - sizes, sizes)
+                body = inner > 0
+                joined[body] = data[(np.repeat(starts[chain], sizes) + inner - 1)[body]]
+                joined = joined.tobytes()
+                cuts = [0, *spots[255::256].tolist()]
+                if cuts[-1] != len(joined):
+                    cuts.append(len(joined))
+                text = [joined[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])]
+                ids = np.concatenate(self.whole(text))
+                done = np.cumsum(self.bytes[ids])
+                last = np.searchsorted(done, spots)
+                if not np.array_equal(done[last], spots):
+                    raise ValueError("an id crosses a piece's edge")
+                pool.append(ids)
+                count.append(np.diff(np.r_[-1, last]))
+            if len(apart):
+                text = [("" if head[i] else " ") + raw[starts[i] : ends[i]].decode() for i in apart.tolist()]
+                got = self.whole(text)
+                pool += got
+                count.append(np.array([len(x) for x in got], np.int64))
+            size = np.concatenate(count)
+            place = len(c["pool"]) + np.cumsum(size) - size
+            order = np.argsort(np.concatenate([c["keys"], keys[np.r_[chain, apart]]]), kind="stable")
+            for k, x in (("at", place), ("size", size), ("keys", keys[np.r_[chain, apart]])):
+                c[k] = np.concatenate([c[k], x])[order]
+            c["pool"] = np.concatenate([c["pool"], *pool])
+        pos = np.searchsorted(c["keys"], keys)
+        return c["at"][pos], c["size"][pos]
 
 
 def _encode_batches(source, end_id):
@@ -151,14 +182,9 @@ def _encode_batches(source, end_id):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder(source.value)
-        for batch, data, offs in slices(batches, limit=8_000_000):
-            ids = encode(batch.column(1).fill_null(""), data, offs)
-            lens = np.array([len(x) + 1 for x in ids])
-            flat = np.full(int(lens.sum()), end_id, np.int32)
-            ends = np.cumsum(lens)
-            for x, e in zip(ids, ends.tolist()):
-                flat[e - 1 - len(x) : e - 1] = x
-            col = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))
+        for batch, data, offs in slices(batches, limit=4_000_000):
+            flat, begin = encode(batch.column(1).fill_null(""), data, offs, end_id)
+            col = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), col], names=["doc_id", "ids"])
 
     return run

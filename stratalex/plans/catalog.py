@@ -1,13 +1,398 @@
-"""All queries over the driver's tables, and the SQL that states their results."""
+"""All queries over the driver's tables, and the SQL that states their results.
+
+The tables stand in for the engine's model: documents for chunks (their file is
+made of source, language and id), embeddings for chunk vectors, benchmark for
+intents, conversations for ordered siblings, events for the footprint log,
+orders and lineitem for intervals and snapshots.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stratalex.functions import exprs as X
+from stratalex.operators import evaluate, graph, ranges, search, store
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql=None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark, sf_dir):
+    """documents as chunks: file, language and text."""
+    d = t(spark, sf_dir, "documents")
+    ext = F.when(d.lang == "en", "_test.go").when(d.lang == "fr", ".spec.ts").when(d.lang == "de", ".sol").otherwise(".md")
+    folder = F.when(d.doc_id % 3 == 0, "test").otherwise("src")
+    return d.withColumn("file", F.concat("source", F.lit("/"), folder, F.lit("/doc"), d.doc_id.cast("string"), ext)).withColumn("language", X.language_of(F.col("file")))
+
+
+CHUNKS = """chunks AS (
+  SELECT *, CASE WHEN file LIKE '%.go' THEN 'go' WHEN file LIKE '%.ts' THEN 'typescript' WHEN file LIKE '%.sol' THEN 'solidity' ELSE 'markdown' END AS language
+  FROM (SELECT *, source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'src' END || '/doc' || doc_id ||
+        CASE lang WHEN 'en' THEN '_test.go' WHEN 'fr' THEN '.spec.ts' WHEN 'de' THEN '.sol' ELSE '.md' END AS file FROM documents))"""
+
+Q = "qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+DIST = "round(list_distance(embedding::double[], q::double[]), 9)"
+
+
+# nearest neighbours
+
+
+def _query(spark, sf_dir):
+    vectors = t(spark, sf_dir, "embeddings")
+    return vectors, search.query_vector(vectors, 0)
+
+
+@query(f"""WITH {Q} SELECT vec_id, label, round(d, 6) AS distance, round(greatest(0, least(1, 1 - d / 2)), 6) AS normalized, row_number() OVER (ORDER BY d, vec_id)::int AS vector_rank
+FROM (SELECT vec_id, label, {DIST} AS d FROM embeddings, qv ORDER BY d, vec_id LIMIT 10)""")
+def knn_l2(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    return search.knn(v, q, 10).select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("normalized", 6).alias("normalized"), "vector_rank")
+
+
+@query(f"""WITH {Q}, n AS (SELECT vec_id, label, {DIST} AS d FROM embeddings, qv ORDER BY d, vec_id LIMIT 30)
+SELECT vec_id, label, round(d, 6) AS distance, row_number() OVER (ORDER BY d, vec_id)::int AS vector_rank FROM (SELECT * FROM n WHERE label < 5 ORDER BY d, vec_id LIMIT 10)""")
+def knn_postfilter(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    return search.knn(v, q, 10, F.col("label") < 5).select("vec_id", "label", F.round("distance", 6).alias("distance"), "vector_rank")
+
+
+@query(f"""WITH {Q}, n AS (SELECT vec_id, label, {DIST} AS d FROM embeddings, qv WHERE label = 3 ORDER BY d, vec_id LIMIT 10)
+SELECT vec_id, label, round(d, 6) AS distance, row_number() OVER (ORDER BY d, vec_id)::int AS vector_rank FROM n""")
+def knn_prefilter(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    return search.knn(v, q, 10, F.col("label") == 3, "pre").select("vec_id", "label", F.round("distance", 6).alias("distance"), "vector_rank")
+
+
+@query(f"""WITH {Q} SELECT vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS cosine FROM embeddings, qv""")
+def cosine_similarity(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    return v.select("vec_id", F.round(X.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in q])), 6).alias("cosine"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding[1:16]::double[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM s)
+SELECT vec_id, len(v) AS dim, round(v[1] / n, 6) + 0.0 AS first, round(list_sum(list_transform(v, lambda x: x / n)), 5) + 0.0 AS total FROM n""")
+def mrl_truncate(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings").withColumn("v", X.truncate_vector(F.col("embedding"), 16))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return v.select("vec_id", F.size("v").cast("bigint").alias("dim"), (F.round(F.get("v", F.lit(0)), 6) + 0.0).alias("first"), (F.round(total, 5) + 0.0).alias("total"))
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL) SELECT label, round(sum(x * x), 5) AS mean_norm2, count(*) AS dim FROM m GROUP BY label""")
+def mean_pool(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    m = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return m.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("x")), 5).alias("mean_norm2"), F.count("*").alias("dim"))
+
+
+@query(f"""WITH {Q}, h AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY {DIST}, vec_id) AS r FROM embeddings, qv QUALIFY r <= 20)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 4) + 0.0 AS dot FROM h a JOIN h b ON a.vec_id < b.vec_id""")
+def pairwise_dot_matrix(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    hits = search.knn(v, q, 20).select("vec_id", "embedding")  # 20 rows: the pairs of one query's hits
+    a, b = hits.alias("a"), F.broadcast(hits.alias("b"))
+    return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), (F.round(X.dot(F.col("a.embedding"), F.col("b.embedding")), 4) + 0.0).alias("dot"))
+
+
+@query()
+def pca_projection(spark, sf_dir):
+    return evaluate.pca(t(spark, sf_dir, "embeddings"), 3)
+
+
+@query()
+def cluster_spherical_kmeans(spark, sf_dir):
+    return evaluate.spherical_kmeans(t(spark, sf_dir, "embeddings"), 16)
+
+
+# words and paths
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, file, language FROM chunks")
+def language_classify(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", "file", "language")
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, CASE language WHEN 'go' THEN file LIKE '%\\_test.go' ESCAPE '\\' WHEN 'typescript' THEN file LIKE '%.spec.ts'
+WHEN 'solidity' THEN file LIKE '%.t.sol' OR list_contains(string_split(file, '/'), 'test') ELSE false END AS is_test FROM chunks""")
+def is_test_path(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", X.is_test_path(F.col("file"), F.col("language")).alias("is_test"))
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, file, regexp_matches(file, '^src1[0-9]*/src/[^/]*$') AS by_segment,
+regexp_matches(file, '^([^/]+/)*test/[^/]*[.]go$') AS by_tree FROM chunks""")
+def glob_doublestar_filter(spark, sf_dir):
+    f = F.col("file")
+    return chunks(spark, sf_dir).select("doc_id", "file", (X.glob_match(f, "src1/src/*") | X.glob_match(f, "src1[0-9]/src/*")).alias("by_segment"), X.glob_match(f, "**/test/*.go").alias("by_tree"))
+
+
+@query(f"""WITH {CHUNKS}, h AS (SELECT doc_id, file, sha256(coalesce(text, '')) AS content_sha256 FROM chunks)
+SELECT doc_id, content_sha256, sha256(file || chr(10) || '1:' || 1 || chr(10) || content_sha256) AS chunk_id FROM h""")
+def chunk_id_hash(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("content_sha256", X.content_hash(F.col("text")))
+    return c.select("doc_id", "content_sha256", X.chunk_id(F.col("file"), F.lit(1), F.lit(1), F.col("content_sha256")).alias("chunk_id"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(lower(url), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '-') AS slug FROM pages""")
+def slugify(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", X.slugify(F.col("url")).alias("slug"))
+
+
+@query("""SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ')) AS digest FROM documents""")
+def whitespace_normalize(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.collapse_whitespace(F.col("text")), 256).alias("digest"))
+
+
+STOP = "['the','and','for','with','this','that','how','what','why','when','where','which','from','into','onto','out','off','all']"
+
+
+@query(f"""SELECT item_id, array_to_string(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: strlen(w) >= 3 AND NOT list_contains({STOP}, w)), ' ') AS keywords FROM benchmark""")
+def keyword_extract(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.keywords(F.col("text")), " ").alias("keywords"))
+
+
+SEPS = r"[ \t\n\r./\\#:;,()\[\]{}<>\"''`!?=+*|&^~]+"
+# pages are ASCII, so letters are a-z and A-Z here; a mark stands where a sub-word begins
+MARKED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1|\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1|\\2', 'g'), '([A-Za-z])([0-9])', '\\1|\\2', 'g'), '([0-9])([A-Za-z])', '\\1|\\2', 'g')"
+
+
+@query(f"""WITH r AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(url, '{SEPS}'), lambda w: w <> '')) AS w FROM pages),
+m AS (SELECT page_id, lower(w) AS w, {MARKED} AS m FROM r),
+s AS (SELECT page_id, w AS t FROM m WHERE strlen(w) >= 2 UNION ALL
+  SELECT page_id, lower(s) FROM (SELECT page_id, w, unnest(string_split(left(m, 1) || replace(replace(substr(m, 2), '-', '|'), '_', '|'), '|')) AS s FROM m) WHERE strlen(s) >= 2 AND lower(s) <> w)
+SELECT page_id, count(*) AS n_tokens, string_agg(t, ' ' ORDER BY t) AS tokens FROM s GROUP BY page_id""")
+def code_tokenize(spark, sf_dir):
+    p = t(spark, sf_dir, "pages").select("page_id", X.code_tokens(F.col("url")).alias("tokens"))
+    return p.filter(F.size("tokens") > 0).select("page_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]*[a-z]')))), ',') AS symbols FROM documents WHERE lang = 'en'""")
+def pascal_symbol_extract(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").filter("lang = 'en'")
+    return d.select("doc_id", F.array_join(F.array_sort(X.pascal_symbols(F.col("text"))), ",").alias("symbols"))
+
+
+ALIASES = {"with the": ["zeta", "alpha"], "and": ["beta", "alpha"], "erbl": ["gamma"]}
+
+
+@query("""WITH k AS (SELECT item_id, text, list_sort(list_distinct(list_concat(list_concat(
+  CASE WHEN contains(lower(text), 'with the') THEN ['zeta', 'alpha'] ELSE []::varchar[] END, CASE WHEN contains(lower(text), 'and') THEN ['beta', 'alpha'] ELSE []::varchar[] END),
+  CASE WHEN contains(lower(text), 'erbl') THEN ['gamma'] ELSE []::varchar[] END))) AS k FROM benchmark)
+SELECT item_id, CASE WHEN len(k) = 0 THEN text ELSE text || ' [aliases: ' || array_to_string(k, ', ') || ']' END AS expanded FROM k""")
+def alias_expand(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select("item_id", X.expand_aliases(F.col("text"), ALIASES).alias("expanded"))
+
+
+PATTERNS = [("email", r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}", "redact"), ("digits", r"[0-9]{6,}", "redact"), ("key", r"-----BEGIN [A-Z ]+KEY-----", "block")]
+
+
+@query(r"""WITH h AS (SELECT doc_id, text, regexp_matches(text, '[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}') AS e, regexp_matches(text, '[0-9]{6,}') AS g, regexp_matches(text, '-----BEGIN [A-Z ]+KEY-----') AS k FROM documents),
+r AS (SELECT doc_id, e, g, k, CASE WHEN g THEN regexp_replace(x, '[0-9]{6,}', '[REDACTED:digits]', 'g') ELSE x END AS x FROM (SELECT *, CASE WHEN e THEN regexp_replace(text, '[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}', '[REDACTED:email]', 'g') ELSE text END AS x FROM h))
+SELECT doc_id, CASE WHEN k THEN 'blocked' WHEN e OR g THEN 'redacted' ELSE 'clean' END AS status, sha256(CASE WHEN k THEN '' ELSE x END) AS digest,
+CASE WHEN NOT k AND (e OR g) THEN len(regexp_extract_all(x, '\[REDACTED:')) ELSE 0 END::int AS redactions FROM r""")
+def secret_redact(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", X.redact(F.col("text"), PATTERNS).alias("r"))
+    return d.select("doc_id", "r.status", F.sha2("r.text", 256).alias("digest"), F.col("r.redactions").cast("int").alias("redactions"))
+
+
+@query("""WITH w AS (SELECT item_id, unnest(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM benchmark),
+h AS (SELECT item_id, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(w, ''), lambda c: ord(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 64 AS slot FROM w),
+c AS (SELECT item_id, slot, count(*)::double AS n FROM h GROUP BY ALL)
+SELECT item_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
+def feature_hash_embed(spark, sf_dir):
+    w = t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")).alias("w"))
+    c = w.select("item_id", (X.fnv1a(F.col("w")) % 64).alias("slot")).groupBy("item_id", "slot").agg(F.count("*").cast("double").alias("n"))
+    return c.select("item_id", "slot", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id"))), 6).alias("weight"))
+
+
+# chunks and snippets
+
+
+@query("""SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[1:50], chr(10))) AS digest, least(50, len(string_split(text, chr(10))))::int AS end_line FROM documents""")
+def file_header_chunk(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(X.header_text(F.col("text")), 256).alias("digest"), F.least(F.lit(50), F.size(X.lines(F.col("text")))).alias("end_line"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, strlen(text) AS b FROM documents),
+s AS (SELECT *, CASE WHEN b <= 800 THEN len(l) ELSE greatest(1, 800 // greatest(1, (b + len(l) - 1) // len(l))) END AS step FROM l),
+w AS (SELECT doc_id, l, step, unnest(range(0, len(l), step)) AS i FROM s)
+SELECT doc_id, (i + 1)::int AS from_line, least(i + step, len(l))::int AS to_line, sha256(array_to_string(l[i + 1:i + step], chr(10))) AS digest FROM w""")
+def long_text_window_split(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.explode(X.line_windows(F.col("text"), 200)).alias("w"))
+    return d.select("doc_id", "w.from_line", "w.to_line", F.sha2("w.body", 256).alias("digest"))
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN 'language: ' || language || '. file: ' || file || '. file header.' WHEN 1 THEN 'language: ' || language || '. file: ' || file || '. section: ' || source || ' (DocSection).'
+WHEN 2 THEN 'commit message. file: ' || file || '.' ELSE 'language: ' || language || '. file: ' || file || '. symbol: ' || source || ' (Function).' END || chr(10) || chr(10) || text) AS digest FROM chunks""")
+def embed_text_prefix(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("file_header", "doc", "commit_message", "symbol")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    what = F.when(kind == "doc", "DocSection").otherwise("Function")
+    return c.select("doc_id", F.sha2(X.embed_text(kind, F.col("language"), F.col("file"), F.col("source"), what, F.col("text")), 256).alias("digest"))
+
+
+FILLED = "list_filter(l, lambda x: regexp_replace(x, '[\\s\\x{85}\\x{a0}]+', '', 'g') <> '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, sha256(text) AS full_digest, sha256(array_to_string(list_concat(l[1:1], (list_filter(l[2:], lambda x: regexp_replace(x, '[\\s\\x{{85}}\\x{{a0}}]+', '', 'g') <> ''))[1:5]), chr(10))) AS sig5_digest,
+coalesce({FILLED}[1], '') AS signature FROM l""")
+def snippet_tiers(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2("text", 256).alias("full_digest"), F.sha2(X.signature_with_context(F.col("text")), 256).alias("sig5_digest"), X.signature_only(F.col("text")).alias("signature"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+m AS (SELECT doc_id, n, regexp_extract(line, '^([A-Za-z][A-Za-z0-9_]+)\\s*[:\\-]', 1) AS marker FROM l)
+SELECT doc_id, n::int AS line, marker, CASE WHEN marker IN ('CRITICAL', 'IMPORTANT', 'WARNING', 'Deprecated') THEN 1 WHEN marker IN ('INVARIANT', 'CONSENSUS', 'SECURITY') THEN 2 ELSE 3 END AS tier FROM m WHERE marker <> ''""")
+def marker_tier_extract(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("n", "line"))
+    m = d.withColumn("marker", F.regexp_extract("line", r"^([A-Za-z][A-Za-z0-9_]+)\s*[:\-]", 1)).filter("marker <> ''")
+    return m.select("doc_id", (F.col("n") + 1).alias("line"), "marker", X.marker_tier(F.col("marker")).alias("tier"))
+
+
+RULES = [("tests", ["**/test/*"]), ("first", ["src1/**", "src2/**"]), ("solidity", ["**/*.sol"])]
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, CASE WHEN regexp_matches(file, '^([^/]+/)*test/[^/]*$') THEN 'tests' WHEN regexp_matches(file, '^src[12]/') THEN 'first' WHEN file LIKE '%.sol' THEN 'solidity' ELSE '' END AS category FROM chunks""")
+def policy_first_match(spark, sf_dir):
+    out = F.lit("")
+    for name, globs in reversed(RULES):
+        out = F.when(X.matches_any(F.col("file"), globs), name).otherwise(out)
+    return chunks(spark, sf_dir).select("doc_id", out.alias("category"))
+
+
+@query("""WITH p AS (SELECT conv_id, '# Background' || chr(10) || max(CASE WHEN turn = 0 THEN text END) || chr(10) || '## Solution:' || chr(10) || max(CASE WHEN turn = 1 THEN text END) AS body, max(CASE WHEN turn = 0 THEN text END) AS bg, max(CASE WHEN turn = 1 THEN text END) AS sol FROM conversations GROUP BY conv_id)
+SELECT conv_id, sha256(regexp_replace(bg, '^\\s+|\\s+$', '', 'g')) AS background, sha256(regexp_replace(sol, '^\\s+|\\s+$', '', 'g')) AS solution FROM p WHERE body IS NOT NULL""")
+def pr_section_extract(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("bg"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("sol"))
+    body = F.concat(F.lit("# Background\n"), "bg", F.lit("\n## Solution:\n"), "sol")
+    c = c.withColumn("body", body).filter("body is not null")
+    return c.select("conv_id", F.sha2(X.pr_section(F.col("body"), ["background"]), 256).alias("background"), F.sha2(X.pr_section(F.col("body"), ["solution", "changes", "approach"]), 256).alias("solution"))
+
+
+# BM25, fusion, density
+
+TOKENS = ["the", "and", "with", "that", "thentionre", "the"]
+BTOK = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+def _tokens(col):
+    return F.filter(F.split(F.lower(F.regexp_replace(col, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+
+
+BM25 = f"""d AS (SELECT doc_id, {BTOK} AS w FROM documents), n AS (SELECT doc_id, len(w) AS doc_len, w FROM d), s AS (SELECT count(*) AS n, avg(doc_len) AS mean_len FROM n),
+q(term, times) AS (VALUES ('the', 2), ('and', 1), ('with', 1), ('that', 1), ('thentionre', 1)),
+tf AS (SELECT doc_id, doc_len, term, count(*) AS tf FROM (SELECT doc_id, doc_len, unnest(w) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / mean_len)) * times), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY doc_id)"""
+
+
+@query(f"""WITH {BM25} SELECT doc_id, round(score, 4) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, doc_id LIMIT 20""")
+def bm25_topk(spark, sf_dir):
+    return search.top(_plain(spark, sf_dir), 20).select("doc_id", F.round("score", 4).alias("score"))
+
+
+def _plain(spark, sf_dir):
+    """BM25 over ASCII words, without the sub-words of code tokens, so that SQL can state it."""
+    d = t(spark, sf_dir, "documents").select("doc_id", _tokens(F.col("text")).alias("w"))
+    return search.bm25_of_tokens(d, TOKENS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {BTOK} AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS term FROM d), g AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::bigint AS cf, max(tf) AS max_tf FROM g GROUP BY term""")
+def bm25_term_stats(spark, sf_dir):
+    g = t(spark, sf_dir, "documents").select("doc_id", F.explode(_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return g.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+@query(f"""WITH {BM25}, {CHUNKS} SELECT doc_id, round(score, 4) AS score, round(1 - 1 / (1 + score), 6) AS normalized FROM
+(SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30) JOIN chunks USING (doc_id) WHERE language = 'go' ORDER BY 2 DESC, doc_id LIMIT 10""")
+def keyword_search(spark, sf_dir):
+    hits = search.top(_plain(spark, sf_dir), 30)
+    own = chunks(spark, sf_dir).select("doc_id", "language")
+    kept = own.join(F.broadcast(hits), "doc_id").filter("language = 'go'")
+    return kept.select("doc_id", F.round("score", 4).alias("score"), F.round(X.normalized_bm25(F.col("score")), 6).alias("normalized")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+FUSED = f"""{BM25}, {Q}, v AS (SELECT vec_id, d, row_number() OVER (ORDER BY d, vec_id) AS vector_rank FROM (SELECT vec_id, {DIST} AS d FROM embeddings, qv ORDER BY d, vec_id LIMIT 30)),
+k AS (SELECT vec_id, d, vector_rank, coalesce(score, 0) AS score, row_number() OVER (ORDER BY coalesce(score, 0) DESC, vector_rank) AS keyword_rank FROM v LEFT JOIN scored ON vec_id = doc_id),
+f AS (SELECT *, round(1.0 / (60 + vector_rank) + 1.0 / (60 + keyword_rank), 9) AS fused FROM k)"""
+
+
+def _hits(spark, sf_dir, k=30):
+    v, q = _query(spark, sf_dir)
+    near = search.knn(v, q, k).withColumnRenamed("vec_id", "doc_id").drop("embedding")
+    return near.join(_plain(spark, sf_dir), "doc_id", "left")
+
+
+@query(f"""WITH {FUSED} SELECT vec_id AS doc_id, vector_rank::int AS vector_rank, keyword_rank::int AS keyword_rank, round(fused, 7)::double AS fused, row_number() OVER (ORDER BY f.fused DESC, vector_rank)::int AS hybrid_rank FROM f""")
+def rrf_rerank(spark, sf_dir):
+    return search.rrf(_hits(spark, sf_dir)).select("doc_id", "vector_rank", "keyword_rank", F.round("fused", 7).alias("fused"), "hybrid_rank")
+
+
+@query(f"""WITH {Q}, v AS (SELECT vec_id, greatest(0, least(1, 1 - {DIST} / 2)) AS s FROM embeddings, qv) SELECT vec_id, round(s, 6) AS normalized FROM v WHERE s >= 0.4""")
+def score_threshold(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    all_ = v.withColumn("normalized", X.normalized_distance(F.round(X.l2(F.col("embedding"), F.array(*[F.lit(x) for x in q])), 9)))
+    return search.threshold(all_, 0).select("vec_id", F.round("normalized", 6).alias("normalized"))
+
+
+WORDS = ["with", "erbl"]
+
+
+@query(f"""WITH {Q}, {CHUNKS}, v AS (SELECT vec_id AS doc_id, d, row_number() OVER (ORDER BY d, vec_id) AS vector_rank FROM (SELECT vec_id, {DIST} AS d FROM embeddings, qv ORDER BY d, vec_id LIMIT 30)),
+h AS (SELECT doc_id, vector_rank, greatest(0, least(1, 1 - d / 2)) AS s, source, file, string_split(text, chr(10)) AS l FROM v JOIN chunks USING (doc_id)),
+b AS (SELECT doc_id, vector_rank, round(s * CASE WHEN regexp_matches(lower(source || ' ' || coalesce({FILLED}[1], '')), 'with|erbl') THEN 1.5 ELSE 1.0 END * CASE WHEN contains(file, '/src/') THEN 1.2 ELSE 1.0 END, 9) AS boosted FROM h)
+SELECT doc_id, round(boosted, 6)::double AS boosted, row_number() OVER (ORDER BY b.boosted DESC, vector_rank)::int AS boost_rank FROM b""")
+def score_boost(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    near = search.knn(v, q, 30).withColumnRenamed("vec_id", "doc_id").select("doc_id", "normalized", "vector_rank")
+    c = chunks(spark, sf_dir).select("doc_id", F.col("source").alias("symbol_name"), "file", "text", F.lit("").alias("commit_hash"))
+    return search.boost(c.join(F.broadcast(near), "doc_id"), WORDS, package="/src").select("doc_id", F.round("boosted", 6).alias("boosted"), "boost_rank")
+
+
+@query(f"""WITH {CHUNKS}, r AS (SELECT doc_id, doc_id % 3 = 0 AS is_test, row_number() OVER (PARTITION BY doc_id % 3 = 0 ORDER BY n_chars DESC, doc_id) AS group_rank FROM chunks)
+SELECT doc_id, is_test, group_rank::int AS group_rank FROM r WHERE group_rank <= CASE WHEN is_test THEN 3 ELSE 5 END""")
+def test_split_topk(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("is_test", F.col("doc_id") % 3 == 0)
+    return search.split_tests(c, 5, 3, [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "is_test", "group_rank")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS l FROM conversations),
+b AS (SELECT conv_id, turn, strlen(text) AS b0, strlen(array_to_string(list_concat(l[1:1], (list_filter(l[2:], lambda x: regexp_replace(x, '[\\s\\x{85}\\x{a0}]+', '', 'g') <> ''))[1:1]), chr(10))) AS b1,
+  strlen(coalesce((list_filter(l, lambda x: regexp_replace(x, '[\\s\\x{85}\\x{a0}]+', '', 'g') <> ''))[1], '')) AS b2 FROM l),
+c AS (SELECT *, ceil((sum(b0) OVER p - coalesce(sum(b0 - b1) OVER w, 0)) / 4) > 100 AS cut1 FROM b WINDOW p AS (PARTITION BY conv_id), w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, bool_and(cut1) OVER p AND ceil(sum(b1) OVER p / 4) > 100 AND ceil((sum(b1) OVER p - coalesce(sum(b1 - b2) OVER w, 0)) / 4) > 100 AS cut2 FROM c WINDOW p AS (PARTITION BY conv_id), w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN cut2 THEN 'signature_only' WHEN cut1 THEN 'signature_5' ELSE 'full' END AS density, CASE WHEN cut2 THEN b2 WHEN cut1 THEN b1 ELSE b0 END::bigint AS snippet_bytes FROM a""")
+def density_budget(spark, sf_dir):
+    hits = t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query").withColumnRenamed("turn", "rank")
+    out = search.density(hits, 100, ctx_lines=1)
+    return out.select(F.col("query").alias("conv_id"), F.col("rank").alias("turn"), "density", F.octet_length("snippet").cast("bigint").alias("snippet_bytes"))
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+    """Hybrid retrieval: nearest neighbours and BM25 fused, then ranked."""
+    return rrf_rerank(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

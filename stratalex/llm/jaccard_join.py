@@ -53,6 +53,8 @@ WIDTH = 24
 BLOCK = 1_000_000
 #: Most bits of a document's sketch in the last round, and members of a key in one block there.
 SKETCH, MEET = 4096, 4096
+#: Keys of a class, from the smallest on, by which a pair is compared for the first of its shared keys only; with more, it may be compared again.
+SMALLEST = 64
 #: Positions of the bitmap of classes that have candidates (8 MB).
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
@@ -275,20 +277,22 @@ def bit_sketch(own):
     return np.packbits(out.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _close(rows, num, den):
+def _close(key, rows, num, den):
     """Pairs of different roots that their sketches don't rule out.
 
-    rows: (cls, root, n, sketch) of one key and pair of blocks.
-    A sketch is folded to half its length by XOR of its halves.
+    rows: (cls, root, n, sketch, smallest keys) of one key and pair of blocks.
+    A sketch is folded to half its length by XOR of its halves. A pair that
+    shares a smaller key is left to that one.
     """
     rows.sort(key=lambda r: r[2])
     n = np.array([r[2] for r in rows])
     cls, root = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    words_ = [np.frombuffer(r[3], np.uint64) for r in rows]
-    size = np.array([len(w) for w in words_])
+    sketches = [np.frombuffer(r[3], np.uint64) for r in rows]
+    below = [r[4][r[4] < key] for r in rows]
+    size = np.array([len(w) for w in sketches])
     layers = {}
     for k in sorted(set(size.tolist())):
-        layers[k] = np.stack([w if len(w) == k else np.bitwise_xor(w[:k], w[k:]) if len(w) == 2 * k else np.zeros(k, np.uint64) for w in words_])
+        layers[k] = np.stack([w if len(w) == k else np.bitwise_xor(w[:k], w[k:]) if len(w) == 2 * k else np.zeros(k, np.uint64) for w in sketches])
     for i in range(len(rows) - 1):
         to = int(np.searchsorted(n, n[i] * den // num, "right"))
         if to <= i + 1:
@@ -299,24 +303,32 @@ def _close(rows, num, den):
         if len(other):
             apart = np.bitwise_count(layers[k][other] ^ layers[k][i]).sum(1)
             for j in other[(den + num) * apart.astype(np.int64) <= (den - num) * (n[i] + n[other])]:
-                yield (min(cls[i], cls[j]), max(cls[i], cls[j]))
+                if not np.isin(below[i], below[j], kind="sort").any():
+                    yield (min(cls[i], cls[j]), max(cls[i], cls[j]))
 
 
 def _compare(num, den):
     def run(batches):
         last, rows, found = None, [], set()
+
+        def send():
+            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column(7)
+            at, low = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]))):
                 if r[:3] != last:
-                    found.update(_close(rows, num, den))
+                    if last:
+                        found.update(_close(last[0], rows, num, den))
                     last, rows = r[:3], []
-                rows.append(r[3:])
+                rows.append((*r[3:], low[at[i] : at[i + 1]]))
             if len(found) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found]) for i in (0, 1)], names=["a", "b"])
-                found = set()
-        found.update(_close(rows, num, den))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found]) for i in (0, 1)], names=["a", "b"])
+                yield send()
+                found.clear()
+        if last:
+            found.update(_close(last[0], rows, num, den))
+        yield send()
 
     return run
 
@@ -487,9 +499,10 @@ def _apart_all(members, root, tested, marks, num, den):
     at = _rooted(members, root)
     span = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     own = at.join(span.select("key", F.ceil(F.col("size") / MEET).cast("int").alias("blocks")), "key")
-    own = own.join(marks.select("cls", "n", "sketch"), "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    low = members.join(span.select("key"), "key", "left_semi").groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SMALLEST).alias("low"))
+    own = own.join(marks.select("cls", "n", "sketch").join(low, "cls"), "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch")
+    dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch", "low")
     pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 

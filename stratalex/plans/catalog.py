@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import exprs as X
 from stratalex.operators import evaluate, graph, ranges, search, store
+from stratalex.sources import files
 
 QUERIES, SQL = {}, {}
 
@@ -179,9 +180,9 @@ def code_tokenize(spark, sf_dir):
     return p.filter(F.size("tokens") > 0).select("page_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]*[a-z]')))), ',') AS symbols FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]*[a-z]')))), ',') AS symbols FROM documents""")
 def pascal_symbol_extract(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = t(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(F.array_sort(X.pascal_symbols(F.col("text"))), ",").alias("symbols"))
 
 
@@ -385,6 +386,269 @@ def density_budget(spark, sf_dir):
     return out.select(F.col("query").alias("conv_id"), F.col("rank").alias("turn"), "density", F.octet_length("snippet").cast("bigint").alias("snippet_bytes"))
 
 
+
+# filters and lookups
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, file FROM chunks WHERE language = 'go' AND source IN ('src1', 'src2', 'src3') AND regexp_matches(file, '^src[^/]*/test/[^/]*$')""")
+def metadata_filter(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return c.filter((F.col("language") == "go") & F.col("source").isin("src1", "src2", "src3") & X.glob_match(F.col("file"), "src*/test/*", False)).select("doc_id", "file")
+
+
+@query("""WITH n AS (SELECT source, count(*) AS lines FROM documents GROUP BY source)
+SELECT b.conv_id, b.turn, n.lines IS NOT NULL AND b.turn + 1 BETWEEN 1 AND n.lines AS cited, b.turn + 1 > coalesce(n.lines, 0) AS stale FROM conversations b LEFT JOIN n ON n.source = 'src' || (b.conv_id % 30)""")
+def citation_enforce(spark, sf_dir):
+    files = t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("lines"))
+    c = t(spark, sf_dir, "conversations").withColumn("file", F.concat(F.lit("src"), (F.col("conv_id") % 30).cast("string")))
+    both = c.join(files, c.file == files.source, "left")
+    line = F.col("turn") + 1
+    return both.select("conv_id", "turn", (F.col("lines").isNotNull() & line.between(1, F.coalesce("lines", F.lit(0)))).alias("cited"), (line > F.coalesce("lines", F.lit(0))).alias("stale"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority LIKE '1-%' THEN 1 WHEN o_orderpriority LIKE '2-%' THEN 2 ELSE 3 END AS tier FROM orders) SELECT tier, count(*) AS n FROM m WHERE tier >= 2 GROUP BY tier""")
+def invariant_tier_filter(spark, sf_dir):
+    marker = F.when(F.col("o_orderpriority").startswith("1-"), "CRITICAL").when(F.col("o_orderpriority").startswith("2-"), "INVARIANT").otherwise("panic")
+    o = t(spark, sf_dir, "orders").withColumn("tier", X.marker_tier(marker))
+    return o.filter("tier >= 2").groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+SELECT b.item_id, CASE WHEN d.doc_id IS NULL THEN 'file_missing' WHEN contains(trim(regexp_replace(d.text, '[ \t\n\r]+', ' ', 'g'), ' '), trim(regexp_replace(b.text, '[ \t\n\r]+', ' ', 'g'), ' ')) THEN '' ELSE 'snippet_not_found' END AS reason
+FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3""")
+def snippet_verify(spark, sf_dir):
+    b, d = t(spark, sf_dir, "benchmark").alias("b"), t(spark, sf_dir, "documents").alias("d")
+    both = b.join(d, F.col("d.doc_id") == F.col("b.item_id") * 3, "left")
+    found = F.contains(X.collapse_whitespace(F.col("d.text")), X.collapse_whitespace(F.col("b.text")))
+    return both.select("item_id", F.when(F.col("d.doc_id").isNull(), "file_missing").when(found, "").otherwise("snippet_not_found").alias("reason"))
+
+
+# joins
+
+
+@query("SELECT doc_id, 'chunk' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def orphan_anti_join(spark, sf_dir):
+    d, e = t(spark, sf_dir, "documents").select("doc_id"), t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return d.join(e, "doc_id", "left_anti").withColumn("side", F.lit("chunk")).unionByName(e.join(d, "doc_id", "left_anti").withColumn("side", F.lit("vector")))
+
+
+SPANS = """spans AS (SELECT o_custkey AS file, (o_orderkey % 50)::int AS start_line, (o_orderkey % 50 + o_orderkey % 7)::int AS end_line, o_orderkey AS span_id, o_orderkey AS ord FROM orders)"""
+
+
+def _spans(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), (k % 50).cast("int").alias("start_line"), (k % 50 + k % 7).cast("int").alias("end_line"), k.alias("span_id"), k.alias("ord"))
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT c_custkey AS file, unnest([3, 17, 40]) AS line FROM customer)
+SELECT file, line::int AS line, coalesce(arg_min(span_id, row(end_line - start_line, ord)), -1) AS span_id FROM p LEFT JOIN spans s USING (file) WHERE s.file IS NULL OR line BETWEEN start_line AND end_line GROUP BY ALL
+UNION ALL SELECT p.file, p.line::int, -1 FROM p WHERE EXISTS (SELECT 1 FROM spans s WHERE s.file = p.file) AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.file = p.file AND line BETWEEN start_line AND end_line)""")
+def interval_tightest_join(spark, sf_dir):
+    p = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.explode(F.array(F.lit(3), F.lit(17), F.lit(40))).alias("line"))
+    p = p.withColumn("point_id", F.concat_ws(":", F.col("file").cast("string"), F.col("line").cast("string")))
+    best = ranges.tightest(p, _spans(spark, sf_dir))
+    return p.join(best, "point_id").select("file", "line", F.coalesce("span_id", F.lit(-1)).alias("span_id"))
+
+
+@query(f"""WITH {SPANS}, c AS (SELECT o_custkey AS file, o_orderkey AS chunk_id, (o_orderkey % 53)::int AS s, (o_orderkey % 53 + o_orderkey % 5)::int AS e FROM orders),
+b AS (SELECT chunk_id, span_id, ord, start_line AS a, end_line AS z, s, e, CASE WHEN start_line = s THEN 1 WHEN start_line <= s AND s <= end_line THEN 2 WHEN least(e, end_line) - greatest(s, start_line) + 1 >= 2 THEN 3
+  WHEN e < start_line AND start_line - e <= 5 THEN 4 WHEN end_line < s AND s - end_line <= 5 THEN 4 END AS step FROM c JOIN spans USING (file)),
+k AS (SELECT chunk_id, span_id AS node_id, step, row_number() OVER (PARTITION BY chunk_id ORDER BY step, CASE WHEN step = 4 THEN CASE WHEN e < a THEN a - e ELSE s - z END ELSE z - a END, ord) AS rn FROM b WHERE step IS NOT NULL)
+SELECT chunk_id, node_id, step FROM k WHERE rn = 1""")
+def interval_ladder_join(spark, sf_dir):
+    k = F.col("o_orderkey")
+    c = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), k.alias("chunk_id"), (k % 53).cast("int").alias("start_line"), (k % 53 + k % 5).cast("int").alias("end_line"))
+    return ranges.ladder(c, _spans(spark, sf_dir).withColumnRenamed("span_id", "node_id"))
+
+
+@query(f"""WITH {SPANS}, l AS (SELECT l_suppkey AS file, l_orderkey, l_linenumber, (l_partkey % 50)::int AS s, (l_partkey % 50 + l_linenumber)::int AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, count(*) AS spans FROM l JOIN spans o USING (file) WHERE start_line <= s AND e <= end_line GROUP BY ALL""")
+def interval_containment_join(spark, sf_dir):
+    p = F.col("l_partkey") % 50
+    inner = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", p.cast("int").alias("start_line"), (p + F.col("l_linenumber")).cast("int").alias("end_line"))
+    return ranges.contained(inner, _spans(spark, sf_dir)).groupBy("i.l_orderkey", "i.l_linenumber").agg(F.count("*").alias("spans"))
+
+
+@query(f"""WITH {SPANS} SELECT a.span_id AS a, count(*) AS overlaps FROM spans a JOIN spans b ON a.file = b.file AND a.start_line <= b.end_line AND b.start_line <= a.end_line AND a.span_id <> b.span_id GROUP BY a.span_id""")
+def interval_overlap_join(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    return ranges.overlapping(s, s).filter("l.span_id <> r.span_id").groupBy(F.col("l.span_id").alias("a")).agg(F.count("*").alias("overlaps"))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM conversations), p AS (SELECT conv_id, ord AS mid FROM n WHERE turn = 2)
+SELECT n.conv_id, n.turn FROM n JOIN p ON n.conv_id = p.conv_id AND n.ord BETWEEN mid - 1 AND mid + 1""")
+def neighbour_window(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
+    return ranges.neighbours(c, c.filter("turn = 2"), 1, 1, key="conv_id", order="turn").select("conv_id", "turn")
+
+
+@query(f"""WITH b AS (SELECT item_id, list_distinct({BTOK}) AS q FROM benchmark), d AS (SELECT doc_id, {BTOK} AS w FROM documents)
+SELECT item_id, len(list_intersect(q, w)) AS matched FROM b JOIN d ON doc_id = item_id""")
+def matched_tokens(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark").select(F.col("item_id"), F.array_distinct(_tokens(F.col("text"))).alias("q"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), _tokens(F.col("text")).alias("w"))
+    return b.join(d, "item_id").select("item_id", F.size(F.array_intersect("q", "w")).cast("bigint").alias("matched"))
+
+
+@query("""SELECT event_id, unnest(string_split(event_type || '>' || user_id % 3, '>')) AS branch FROM events""")
+def branch_unnest(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(F.split(F.concat("event_type", F.lit(">"), (F.col("user_id") % 3).cast("string")), ">")).alias("branch"))
+
+
+# snapshots
+
+
+@query("""WITH new AS (SELECT vec_id + 7 AS doc_id, 'new' AS lang, 'label' || label AS source FROM embeddings)
+SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT doc_id, lang, source FROM new""")
+def upsert_merge(spark, sf_dir):
+    old = t(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    new = t(spark, sf_dir, "embeddings").select((F.col("vec_id") + 7).alias("doc_id"), F.lit("new").alias("lang"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("source"))
+    return store.upsert(old, new, "doc_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def delete_by_file(spark, sf_dir):
+    gone = t(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return store.delete_by(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN coalesce((SELECT min(o_orderpriority) FROM orders WHERE o_custkey = c_custkey), '') ELSE c_mktsegment END AS recent_prs FROM customer""")
+def pr_breadcrumb_update(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("recent_prs"))
+    o = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("recent_prs"))
+    return store.fill_where_empty(c, o, "c_custkey", "recent_prs")
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'symbol' ELSE 'doc' END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS canon FROM documents), v AS (SELECT vec_id FROM embeddings)
+SELECT count(*) AS chunks, count(*) FILTER (WHERE kind = 'symbol') AS symbol_chunks, count(*) FILTER (WHERE kind = 'symbol' AND canon <> '') AS canonical, (SELECT count(*) FROM v) AS vectors,
+count(*) FILTER (WHERE doc_id NOT IN (SELECT vec_id FROM v)) AS orphan_chunks, (SELECT count(*) FROM v WHERE vec_id NOT IN (SELECT doc_id FROM c)) AS orphan_vectors,
+round(count(*) FILTER (WHERE kind = 'symbol' AND canon <> '') / count(*) FILTER (WHERE kind = 'symbol'), 6) AS canonical_rate FROM c""")
+def store_validate(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    c = d.select(F.col("doc_id").alias("chunk_id"), F.when(d.doc_id % 2 == 0, "symbol").otherwise("doc").alias("chunk_kind"), F.when(d.doc_id % 3 == 0, "").otherwise(d.source).alias("canonical_id"))
+    v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return store.validate(c, v).drop("ok").withColumn("canonical_rate", F.round("canonical_rate", 6))
+
+
+# aggregates
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::bigint AS chars, count(*) FILTER (WHERE n_chars > 5000) AS truncated FROM documents GROUP BY ALL")
+def chunk_kind_stats(spark, sf_dir):
+    return t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") > 5000).alias("truncated"))
+
+
+@query("SELECT coalesce(p_brand, '') AS category, count(*) AS n FROM part GROUP BY 1")
+def category_counts(spark, sf_dir):
+    return t(spark, sf_dir, "part").groupBy(X.text(F.col("p_brand")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT source AS package, lang, count(*) AS n FROM documents GROUP BY ALL)
+SELECT package, sum(n)::bigint AS files, string_agg(lang || ':' || n, ', ' ORDER BY n DESC, lang) AS summary FROM c GROUP BY package""")
+def package_rollup(spark, sf_dir):
+    c = t(spark, sf_dir, "documents").groupBy(F.col("source").alias("package"), "lang").agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "lang")))
+    return c.groupBy("package").agg(F.sum("n").alias("files"), F.array_join(F.transform(parts, lambda x: F.concat(x["lang"], F.lit(":"), (-x["k"]).cast("string"))), ", ").alias("summary"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def dedup_first(spark, sf_dir):
+    return evaluate.dedup_first(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("""WITH r AS (SELECT conv_id, min(CASE WHEN role = 'assistant' THEN turn END) AS rank FROM conversations GROUP BY conv_id)
+SELECT count(*) AS queries, count(rank) AS found, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6)::double AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6)::double AS recall_at_3,
+round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6)::double AS recall_at_5, round(avg(coalesce(1.0 / rank, 0)), 6)::double AS mrr FROM r""")
+def eval_metrics(spark, sf_dir):
+    r = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("rank"))
+    m = evaluate.rank_metrics(r)
+    return m.select("queries", "found", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+
+
+@query("SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY event_type")
+def mean_std_runs(spark, sf_dir):
+    m = evaluate.mean_std(t(spark, sf_dir, "events"), "value", "event_type")
+    return m.select("event_type", "runs", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("""WITH s AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS p, list_distinct(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'F')) AS g FROM orders GROUP BY o_custkey),
+f AS (SELECT o_custkey, len(p) AS np, coalesce(len(g), 0) AS ng, coalesce(len(list_intersect(p, g)), 0) AS b FROM s)
+SELECT o_custkey, round(CASE WHEN ng = 0 THEN 0 ELSE b / np END, 6)::double AS precision, round(CASE WHEN ng = 0 THEN 0 ELSE b / ng END, 6)::double AS recall, round(CASE WHEN ng = 0 OR b = 0 THEN 0 ELSE 2.0 * b / (np + ng) END, 6)::double AS f1 FROM f""")
+def set_f1(spark, sf_dir):
+    s = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("pred"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("truth"))
+    return evaluate.set_f1(s).select("o_custkey", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {CHUNKS} SELECT source AS root, sha256(string_agg(file || chr(0) || sha256(text) || chr(10), '' ORDER BY file || chr(0))) AS tree_sha256 FROM chunks GROUP BY source""")
+def tree_hash(spark, sf_dir):
+    c = chunks(spark, sf_dir).select(F.col("source").alias("root"), F.col("file").alias("path"), X.content_hash(F.col("text")).alias("digest"))
+    return evaluate.tree_hash(c)
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_partkey, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6)::double AS recall_at_5, round(1.0 / min(rank), 6)::double AS mrr FROM r GROUP BY l_suppkey""")
+def file_recall(spark, sf_dir):
+    r = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("rank"))
+    return r.groupBy("l_suppkey").agg(F.round(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)), 6).alias("recall_at_5"), F.round(1.0 / F.min("rank"), 6).alias("mrr"))
+
+
+@query("""WITH e AS (SELECT event_type, round(value, 4) AS value FROM events), s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e)
+SELECT event_type, max(n) AS count, round(sum(value), 2) AS sum, max(CASE WHEN i = (n - 1) // 2 THEN value END) AS p50, max(CASE WHEN i = least(n * 95 // 100, n - 1) THEN value END) AS p95 FROM s GROUP BY event_type""")
+def event_latency_profile(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_type", F.round("value", 4).alias("value"))
+    return evaluate.latency_profile(e).withColumn("sum", F.round("sum", 2))
+
+
+@query("""WITH r AS (SELECT CASE WHEN props LIKE '{%' THEN event_type ELSE 'malformed' END AS kind FROM events) SELECT kind, count(*) AS n FROM r GROUP BY kind""")
+def flow_record_counts(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("v", F.try_parse_json("props"))
+    return e.groupBy(F.when(F.col("v").isNotNull(), F.col("event_type")).otherwise("malformed").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'A' ELSE 'R' END AS s FROM orders)
+SELECT o_orderkey, s AS op, 'old' AS path FROM d WHERE s = 'D' UNION ALL SELECT o_orderkey, 'A', 'new' FROM d WHERE s = 'A' UNION ALL SELECT o_orderkey, 'D', 'old' FROM d WHERE s = 'R' UNION ALL SELECT o_orderkey, 'A', 'new' FROM d WHERE s = 'R'""")
+def diff_status_expand(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    line = F.when(s == "F", "D\told").when(s == "O", "A\tnew").otherwise("R100\told\tnew")
+    return files.expand_diff(t(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "o_orderkey")
+
+
+# graphs
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, (c_custkey % 25)::int AS dst FROM customer ), r(node, hop) AS (SELECT 3, 0 UNION SELECT dst, hop + 1 FROM r JOIN e ON src = node WHERE hop < 3)
+SELECT node, min(hop)::int AS hop FROM r GROUP BY node HAVING min(hop) > 0""")
+def graph_bfs_hops(spark, sf_dir):
+    e = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).cast("int").alias("dst"))
+    return graph.reach(e, 3, 3)
+
+
+@query("SELECT conv_id AS flow, turn AS node, turn + 1 AS pos FROM conversations")
+def flow_topo_order(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("flow"), F.col("turn").alias("node"), (-F.col("turn")).alias("ord"))
+    edges = c.select("flow", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    return graph.topological_order(c, edges)
+
+
+@query(f"""WITH {BM25}, {Q}, v AS (SELECT vec_id, {DIST} AS d, row_number() OVER (ORDER BY {DIST}, vec_id) AS vector_rank FROM embeddings, qv)
+SELECT doc_id, round(score, 4) AS bm25_score, CASE WHEN vector_rank <= 200 THEN vector_rank ELSE 0 END::int AS vector_rank, round(CASE WHEN vector_rank <= 200 THEN greatest(0, 1 - d / 2) ELSE 0 END, 6) AS vector_score FROM scored JOIN v ON vec_id = doc_id""")
+def explain_match(spark, sf_dir):
+    v, q = _query(spark, sf_dir)
+    near = search.knn(v, q, 200).select(F.col("vec_id").alias("doc_id"), "vector_rank", "normalized")
+    own = v.select(F.col("vec_id").alias("doc_id"))
+    both = _plain(spark, sf_dir).join(own, "doc_id").join(F.broadcast(near), "doc_id", "left")
+    return both.select("doc_id", F.round("score", 4).alias("bm25_score"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.round(F.coalesce("normalized", F.lit(0.0)), 6).alias("vector_score"))
+
+
+@query(r"""WITH l AS (SELECT page_id, url, unnest(string_split('# ' || url || chr(10) || 'x' || chr(10) || '## Part ' || page_id || chr(10) || 'y', chr(10))) AS line, generate_subscripts(string_split('# ' || url || chr(10) || 'x' || chr(10) || '## Part ' || page_id || chr(10) || 'y', chr(10)), 1) AS n FROM pages)
+SELECT page_id, n::int AS start_line, (n + 1)::int AS end_line, trim(regexp_replace(lower(regexp_replace(line, '^#+ ', '')), '[^\p{L}\p{Nd}]+', '-', 'g'), '-') AS slug FROM l WHERE line LIKE '#%'""")
+def markdown_sections(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    body = F.concat(F.lit("# "), "url", F.lit("\nx\n## Part "), p.page_id.cast("string"), F.lit("\ny"))
+    return files.markdown_sections(p.select("page_id", body.alias("text")), "page_id").select("page_id", "start_line", "end_line", "slug")
+
+
 def flagship(spark, sf_dir):
     """Hybrid retrieval: nearest neighbours and BM25 fused, then ranked."""
     return rrf_rerank(spark, sf_dir)

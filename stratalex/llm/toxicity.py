@@ -10,9 +10,9 @@ The lexicon is learnt from labelled rows: whole words and word beginnings of
 STEMS characters, weighted by the smoothed log odds of the label given that
 they occur. Exception phrases are learnt too: pairs of words around an entry
 that occur in clean texts only; an entry inside such a phrase doesn't count.
-The score is the logistic of the matched weight, normalised by length: each
-entry counts at most CAP times, and weight is compared with what a text of that
-many words gathers by chance.
+The score is the logistic of the matched weight: the k-th strongest word adds
+a k-th of its weight, and the logarithm of the words per match, beyond 20, is
+taken off, so long texts must gather more.
 
 Labels are read from training rows only and are bounded: at most SAMPLE
 labelled training rows, the ones of smallest hash, take part in learning, so
@@ -41,7 +41,6 @@ SAMPLE = 20_000
 STEMS = (4, 5, 6)
 ENTRIES = 20_000
 PRIOR = 0.05
-CAP = 3
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -171,7 +170,7 @@ def learn(docs, labels, sample=SAMPLE):
     small_batches(docs.sparkSession)
     told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic").persist()
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").persist()  # at most `sample` rows
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
     n1, n0 = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
     if not n1 or not n0:
@@ -210,7 +209,7 @@ def score_one(folded, match, weights, block, prior):
     if not words:
         return 1 / (1 + math.exp(min(30.0, 3.0 - base)))
     # the k-th word found adds a k-th of its weight; long texts must gather more
-    total = sum(w / (k + 1) for k, w in enumerate(sorted(words.values(), reverse=True)[: 10 * CAP]))
+    total = sum(w / (k + 1) for k, w in enumerate(sorted(words.values(), reverse=True)))
     n = folded.count(" ") - 1
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - 2.0 - 0.25 * math.log(max(1.0, n / len(words) / 20))))))
 

@@ -140,7 +140,9 @@ def groups(docs):
     held = spark.sparkContext.broadcast(_repeated(fps))
     texts = settle(docs.mapInArrow(_fingerprint_batches(held), SHA_SCHEMA + ", raw binary"), "texts")
     most = fps.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id")).filter("n > 1").drop("n")
+    # settled, so that the join with it has two plain exchanges, which adaptive execution may split
     lead = texts.join(most, on=[texts[k] == most[k] for k in key] + [texts.doc_id.eqNullSafe(most.doc_id)], how="left_semi").dropDuplicates(key).select(*key, F.col("raw").alias("lead"))
+    lead = settle(lead, "lead")
     chunks = F.sequence(F.lit(0), (F.col("n_bytes") / STEP).cast("int"))
     same = F.forall(chunks, lambda i: F.substring(F.col("raw"), i * STEP + 1, F.lit(STEP)) == F.substring(F.col("lead"), i * STEP + 1, F.lit(STEP)))
     odd = texts.join(lead, on=key).filter(~same).select(*key, "sha").distinct().withColumn("clash", F.col("sha"))

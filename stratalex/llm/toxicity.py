@@ -83,10 +83,15 @@ def folder():
 
     def fold(text):
         t = text.translate(table_)
+
+        def letter(m):
+            if m.end() < len(t) and t[m.end()].isalpha():
+                return m[0].translate(letters)
+            core = m[0].rstrip("@$!|")  # signs that end a word are punctuation
+            return core.translate(letters) + " " * (core != m[0])
+
         if likely.search(t):
-            # digits or signs within, before or after letters; a sign that ends a word may be punctuation, so it goes
-            t = inner.sub(lambda m: m[0].translate(letters) if m.end() == len(t) or t[m.end()].isalpha() or m[0][-1].isdigit() else signs.sub(" ", m[0]), t)
-            t = signs.sub(" ", t)
+            t = signs.sub(" ", inner.sub(letter, t))
         return " " + " ".join(t.split()) + " "
 
     return fold

@@ -7,8 +7,8 @@ matches at the start of a word only, and one that ends with a space matches
 whole words.
 
 The lexicon is learnt from labelled rows: whole words and word beginnings of
-STEMS characters, weighted by the smoothed log odds of the label given that
-they occur. Exception phrases are learnt too: pairs of words around an entry
+STEMS characters that go with the label beyond chance, whatever number of
+entries was looked at, weighted by their smoothed log odds. Exception phrases are learnt too: pairs of words around an entry
 that occur in clean texts only; an entry inside such a phrase doesn't count.
 The score is the logistic of the matched weight: the k-th strongest word adds
 a k-th of its weight, and the logarithm of the words per match, beyond 20, is
@@ -41,6 +41,8 @@ SAMPLE = 20_000
 STEMS = (4, 5, 6)
 ENTRIES = 20_000
 PRIOR = 0.05
+#: Matched weight at which a text of 20 words per match is as likely toxic as not.
+OFFSET = 3.5
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -175,7 +177,11 @@ def learn(docs, labels, sample=SAMPLE):
     small_batches(docs.sparkSession)
     told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").persist()  # at most `sample` rows
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    # of near copies only one speaks: those that share the least hash of three-word shingles
+    w = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 3), " "))))
+    own = own.withColumn("least", least).groupBy("least", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic").persist()
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
     n1, n0 = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
     if not n1 or not n0:
@@ -183,11 +189,15 @@ def learn(docs, labels, sample=SAMPLE):
         return {"weights": {}, "exceptions": [], "prior": PRIOR}
     found = own.mapInArrow(_counts, "entry string, k1 bigint, k bigint")
     counts = found.groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k").alias("k"))
+    counts = counts.filter("k >= 3").persist()
+    tests = max(1, counts.count())
     odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k") - F.col("k1") + 0.5) / (n0 + 1))
-    # an entry must speak for the label by more than chance: its log odds beyond two standard errors
-    slack = 2 * F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k") - F.col("k1") + 0.5))
-    best = counts.withColumn("w", odds).filter((F.col("k1") >= 3) & (F.col("w") - slack > 1.0)).orderBy(F.desc(F.col("w") * F.sqrt("k1")), "entry").limit(ENTRIES)
+    # Chernoff's bound on chance, over all entries that were looked at: fewer than one in e is there by chance
+    rate, prior = F.col("k1") / F.col("k"), n1 / (n1 + n0)
+    gain = F.when(F.col("k1") > 0, F.col("k1") * F.log(rate / prior)).otherwise(0.0) + F.when(rate < 1, (F.col("k") - F.col("k1")) * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
+    best = counts.withColumn("w", odds).filter((rate > 0.5) & (gain > math.log(tests) + 1)).orderBy(F.desc(gain), "entry").limit(ENTRIES)
     weights = {r.entry: float(r.w) for r in best.toLocalIterator()}
+    counts.unpersist()
     exceptions = []
     if weights:
         held = docs.sparkSession.sparkContext.broadcast(sorted(weights))
@@ -216,7 +226,7 @@ def score_one(folded, match, weights, block, prior):
     # the k-th word found adds a k-th of its weight; long texts must gather more
     total = sum(w / (k + 1) for k, w in enumerate(sorted(words.values(), reverse=True)))
     n = folded.count(" ") - 1
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - 2.0 - 0.25 * math.log(max(1.0, n / len(words) / 20))))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - OFFSET - 0.25 * math.log(max(1.0, n / len(words) / 20))))))
 
 
 def _score_batches(model, at):

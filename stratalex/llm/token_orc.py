@@ -53,7 +53,7 @@ def _held():
 class Encoder:
     """Ids of whole texts by way of their distinct pieces, which are known by 64-bit hashes."""
 
-    def __init__(self, source, held=2_000_000):
+    def __init__(self, source, held=1_000_000):
         import json
 
         from tokenizers import Tokenizer
@@ -182,7 +182,7 @@ def _encode_batches(source, end_id):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder(source.value)
-        for batch, data, offs in slices(batches, limit=4_000_000):
+        for batch, data, offs in slices(batches, limit=1_500_000):
             flat, begin = encode(batch.column(1).fill_null(""), data, offs, end_id)
             col = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), col], names=["doc_id", "ids"])

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import small_batches, table
+from stratalex.llm.textkit import shingle_sets, slices, small_batches, table, words
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6)
@@ -108,6 +108,17 @@ def features(folded):
     return found
 
 
+def _least(batches):
+    """Adds the least hash of each text's three-word shingles."""
+    for batch, data, offs in slices(batches):
+        hashes, first = words(data, offs)
+        sets, at = shingle_sets(hashes, first, 3)
+        least = np.zeros(len(offs) - 1, np.uint64)
+        some = at[1:] > at[:-1]
+        least[some] = sets[at[:-1][some]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=[*batch.schema.names, "least"])
+
+
 def _counts(batches):
     """(entry, toxic texts, texts) that hold each entry, summed within the task."""
     fold, all_, bad = folder(), Counter(), Counter()
@@ -179,9 +190,8 @@ def learn(docs, labels, sample=SAMPLE):
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `sample` rows
     # of near copies only one speaks: those that share the least hash of three-word shingles
-    w = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    least = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 3), " "))))
-    own = own.withColumn("least", least).groupBy("least", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic").persist()
+    own = own.mapInArrow(_least, "doc_id bigint, text string, toxic int, least bigint")
+    own = own.groupBy("least", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic").persist()
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
     n1, n0 = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
     if not n1 or not n0:
@@ -196,7 +206,13 @@ def learn(docs, labels, sample=SAMPLE):
     rate, prior = F.col("k1") / F.col("k"), n1 / (n1 + n0)
     gain = F.when(F.col("k1") > 0, F.col("k1") * F.log(rate / prior)).otherwise(0.0) + F.when(rate < 1, (F.col("k") - F.col("k1")) * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
     best = counts.withColumn("w", odds).filter((rate > 0.5) & (gain > math.log(tests) + 1)).orderBy(F.desc(gain), "entry").limit(ENTRIES)
-    weights = {r.entry: float(r.w) for r in best.toLocalIterator()}
+    rows = {r.entry: (r.k1, float(r.w)) for r in best.toLocalIterator()}
+    # a word beginning says nothing of its own where one longer entry stands for nearly all of it
+    longer = {}
+    for e, (k1, _) in rows.items():
+        for i in range(2, len(e)):
+            longer[e[:i]] = max(longer.get(e[:i], 0), k1)
+    weights = {e: w for e, (k1, w) in rows.items() if longer.get(e, 0) < 0.95 * k1}
     counts.unpersist()
     exceptions = []
     if weights:

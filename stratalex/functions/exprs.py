@@ -17,7 +17,7 @@ STOPWORDS = ("the", "and", "for", "with", "this", "that", "how", "what", "why",
 #: Separators of code tokens ("-" and "_" are parts of identifiers).
 SEPARATORS = r"[ \t\n\r./\\#:;,()\[\]{}<>\"'`!?=+*|&^~]+"
 SUBWORDS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<!^)[_-]"
-TRUNCATED = "\n// ... [CKV-TRUNCATED]"
+TRUNCATED = "\n// ... [TRUNCATED]"
 
 
 def text(col):

@@ -9,7 +9,7 @@ from stratalex.operators import store
 
 def event_profile(events, window="10 minutes", late="1 hour", ts="ts", key="event_type", value="value"):
     """count, sum and mean of each event in tumbling windows; rows later than `late` are left out."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
 
 
 def maintain(changes, snapshots, name="chunks", key="chunk_id", gone="deleted", checkpoint=None):

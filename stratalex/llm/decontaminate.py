@@ -174,9 +174,10 @@ def search(data, offs, blocks_of_patterns):
     return np.diff(first), np.diff(hit[first]), items
 
 
-def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_000_000, item_id="item_id", item_text="text"):
+def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_000_000, item_id="item_id", item_text="text", added=("n_words", "n_hit", "items", "contaminated")):
     """docs with n_words, n_hit, items (sorted ids of the items that occur) and contaminated added.
 
+    Columns of docs that have the names in `added` are replaced.
     contaminated: n_hit > 0 and at least a twentieth of the words is hit.
     """
     spark = docs.sparkSession
@@ -189,7 +190,6 @@ def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_0
         rows = own if parts == 1 else own.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(parts)) == k)
         held.append(spark.sparkContext.broadcast(patterns_of(rows.toLocalIterator(), window)))
     names = docs.columns
-    added = ["n_words", "n_hit", "items", "contaminated"]
     clash = [c for c in names if c in added]
     docs = docs.drop(*clash)
 
@@ -204,12 +204,13 @@ def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_0
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean")
+    return docs.mapInArrow(run, f"{schema}, {', '.join(f'`{c}` {k}' for c, k in zip(added, ('bigint', 'bigint', 'array<string>', 'boolean')))}")
 
 
 def remove_contaminated(docs, benchmark, **options):
     """The documents that are not contaminated, with their own columns."""
-    return find_contamination(docs, benchmark, **options).filter("not contaminated").select(*docs.columns)
+    own = ("_words", "_hit", "_items", "_contaminated")
+    return find_contamination(docs, benchmark, added=own, **options).filter(~F.col("_contaminated")).drop(*own)
 
 
 def brute(text, items, window=13):

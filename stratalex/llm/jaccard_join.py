@@ -508,9 +508,14 @@ def _apart_all(members, root, tested, marks, num, den):
 
 
 def keep_one(docs, **options):
-    """docs with only the document of smallest doc_id of each component; repeated rows leave one row."""
-    keep = link_components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with only the document of smallest doc_id of each component.
+
+    Repeated rows of a doc_id leave one row; rows without doc_id all stay.
+    """
+    known = docs.filter("doc_id is not null")
+    keep = link_components(known, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    left = known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return left.union(docs.filter("doc_id is null"))
 
 
 def op9_jaccard_join(spark, sf_dir):

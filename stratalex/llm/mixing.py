@@ -95,16 +95,18 @@ def mixed_documents(docs, weights=WEIGHTS, share=SHARE, limit=LIMIT):
     cut, by its own part.
     """
     key = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.withColumn("size", word_count(F.col("text"))).withColumn("key", key)
-    taken = take(settle(rows.select("doc_id", "source", "size", "key"), "sizes"), weights, share, limit)
+    size = word_count(F.col("text"))
+    rows = docs.withColumn("_size", size)
+    taken = take(settle(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes"), weights, share, limit)
     own = taken.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).filter("taken > 0").alias("t")
-    both = rows.alias("d").join(own, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.size") == F.col("t.size")))
+    both = rows.alias("d").join(own, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
     copies = F.sequence(F.lit(1), F.ceil(F.col("t.taken") / F.col("t.size")).cast("int"))
-    each = both.withColumn("_copy", F.explode(copies))
-    left = F.col("t.taken") - (F.col("_copy") - 1) * F.col("t.size")
-    text = F.when(left >= F.col("t.size"), F.col("d.text")).otherwise(cut_words(F.col("d.text"), left))
-    columns = [text.alias(c) if c == "text" else (F.when(left >= F.col("t.size"), F.col("d.n_chars")).otherwise(F.char_length(text).cast("bigint")).alias(c) if c == "n_chars" else F.col(f"d.{c}")) for c in docs.columns]
-    return each.select(*columns)
+    each = both.select("d.*", F.col("t.taken").alias("_taken"), F.explode(copies).alias("_copy"))
+    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    whole = left >= F.col("_size")
+    text = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), left))
+    own = {"text": text, "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.char_length(text)).cast("bigint")} if "n_chars" in docs.columns else {"text": text}
+    return each.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_words(text, n):

@@ -245,30 +245,30 @@ def score_one(folded, match, weights, block, prior):
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - OFFSET - 0.25 * math.log(max(1.0, n / len(words) / 20))))))
 
 
-def _score_batches(model, at):
+def _score_batches(model, at, name):
     def run(batches):
         m = model.value
         fold, match, block = folder(), matcher(sorted(m["weights"])), matcher(m["exceptions"])
         for batch in batches:
             out = [score_one(fold(t or ""), match, m["weights"], block, m["prior"]) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(out, float))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(out, float))], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs, model, text="text"):
+def score(docs, model, text="text", name="score"):
     """docs with a score from 0 to 1 added (a column of that name is replaced)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score") if "score" in docs.columns else docs
+    docs = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score_batches(held, docs.columns.index(text)), f"{schema}, score double")
+    return docs.mapInArrow(_score_batches(held, docs.columns.index(text), name), f"{schema}, `{name}` double")
 
 
 def remove_toxic(docs, labels, threshold=0.5, training=None):
     """The documents whose score stays below the threshold, with their own columns."""
-    scored = score(docs, learn(training if training is not None else docs, labels))
-    return scored.filter(F.col("score") < threshold).select(*docs.columns)
+    scored = score(docs, learn(training if training is not None else docs, labels), name="_toxicity")
+    return scored.filter(F.col("_toxicity") < threshold).drop("_toxicity")
 
 
 def held_out():

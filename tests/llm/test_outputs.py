@@ -61,6 +61,8 @@ def test_mix_of_nasty_rows(nasty, empty):
     again = sorted((str(r.doc_id), r["size"], r.taken) for r in mixing.mix(nasty.repartition(5)).collect())
     assert again == sorted((str(r.doc_id), r["size"], r.taken) for r in rows)
     assert mixing.mix(empty).count() == 0
+    out = mixing.mixed_documents(nasty)
+    assert out.columns == nasty.columns and {r.key for r in out.collect()} <= {"k", None}
 
 
 def test_mixed_documents_hold_what_the_mix_takes(spark, sf):

@@ -145,7 +145,8 @@ def groups(docs):
     lead = settle(lead, "lead")
     chunks = F.sequence(F.lit(0), (F.col("n_bytes") / STEP).cast("int"))
     same = F.forall(chunks, lambda i: F.substring(F.col("raw"), i * STEP + 1, F.lit(STEP)) == F.substring(F.col("lead"), i * STEP + 1, F.lit(STEP)))
-    odd = texts.join(lead, on=key).filter(~same).select(*key, "sha").distinct().withColumn("clash", F.col("sha"))
+    # settled too: an aggregation right above the join would keep its partitions whole
+    odd = settle(texts.join(lead, on=key).filter(~same).select(*key, "sha"), "odd").distinct().withColumn("clash", F.col("sha"))
     told = fps.join(odd, on=[*key, "sha"], how="left")
     size = told.groupBy(*key, "clash").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
     both = told.alias("t").join(size.alias("s"), on=[F.col(f"t.{k}") == F.col(f"s.{k}") for k in key] + [F.col("t.clash").eqNullSafe(F.col("s.clash"))])

@@ -439,7 +439,7 @@ def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
     rows = made.filter("kind = 0").select("doc_id", "n", "cls")
     edges = settle(made.filter("kind = 1").select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct()
-    reps = settle(rows.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")), "reps")
+    reps = settle(rows.groupBy("cls").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")).join(nodes, "cls", "left_semi"), "reps")
     held = spark.sparkContext.broadcast(bitmap_of(reps, "d"))
     sets = settle(docs.mapInArrow(_set_batches(k, held), "cls bigint, d bigint, hashes binary, sketch binary"), "sets")
     marks = settle(reps.join(sets.select("cls", "d", "sketch"), ["cls", "d"]).dropDuplicates(["cls"]), "marks")

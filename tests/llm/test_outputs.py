@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratalex.llm import chat_format, decontaminate, jaccard_join, mixing, registry, token_orc
-from stratalex.llm.textkit import shared_dir
+from stratalex.llm.textkit import scratch_path
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -94,7 +94,7 @@ def test_token_files_hold_what_the_tokenizer_says(spark, nasty, empty):
 
 
 def test_token_files_are_ordered_and_can_be_looked_up(spark, sf):
-    path = shared_dir(spark) + "/ids-test"
+    path = scratch_path(spark, "ids-test")
     token_orc.write_ids(spark.read.parquet(f"{sf}/documents.parquet"), path)
     low = token_orc.read_ids(spark, path).groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("f")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).orderBy("f").collect()
     assert all(x.z < y.a for x, y in zip(low, low[1:]))

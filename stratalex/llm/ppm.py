@@ -16,10 +16,16 @@ The model describes what the contract's tokens are made of: the text with A-Z
 lower-cased, each run of white space one space, none at either end, and an end
 symbol after it. Texts of the same tokens get the same score.
 
-Counts are taken over all training texts. The trie keeps the contexts of
-largest count, as many as fit into `entries` cells (states times symbols), a
-bound on the model and on what is broadcast that doesn't depend on the corpus;
-a context is never kept without its suffixes and prefixes.
+Counts are taken over all training texts, and the trie has every context that
+occurs in them. What is broadcast is bounded all the same: the automaton holds
+the contexts of largest count, as many as fit into `cells` cells (states times
+symbols), never one without its suffixes and prefixes, and so the costs of its
+states of ORDER symbols are those of the whole trie. Where contexts were left
+out, the bytes read in a shorter state are priced by their gram of ORDER + 1
+symbols: from a broadcast table of the `tail` most frequent of the other
+trained grams, and by joins for the rest - trained grams by their counts, new
+ones by the counts along their chain of suffixes. A caller may cut the model
+itself to the contexts that fit into `entries` cells; the query doesn't.
 
 The base score is a unigram model with one added to each count. The words that
 make up at least 1/HEAVY of all tokens - at most HEAVY words - are looked up in
@@ -43,7 +49,9 @@ from stratalex.llm.textkit import LOWER, WHITE, drop_scratch, settle, slices, sp
 ORDER = 5
 END = 256
 #: Cells of the automaton's tables; each has a cost and a next state of four bytes.
-ENTRIES = 2**23
+CELLS = 2**23
+#: Grams beyond the automaton that are broadcast with their costs, twelve bytes each.
+TAIL = 2**20
 HEAVY = 2**17
 LANES = 8192
 #: Distinct words and contexts that a task holds before it sends their counts on.
@@ -129,7 +137,8 @@ def automaton(rows, order=ORDER):
     """Tables of {(length, context): {symbol: count}} given as (length, context, symbol, count) arrays.
 
     Returns (columns: symbol -> column, costs: states x columns of log10, next
-    states). Column 0 stands for every symbol that training never saw.
+    states, first state of `order` symbols). Column 0 stands for every symbol
+    that training never saw.
     """
     length, ctx, sym, n = (np.asarray(x, np.int64) for x in rows)
     seen = np.unique(sym)
@@ -137,7 +146,7 @@ def automaton(rows, order=ORDER):
     columns[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
     if not len(sym):
-        return columns, np.full((1, 1), -np.log10(257), np.float32), np.zeros((1, 1), np.int32)
+        return columns, np.full((1, 1), -np.log10(257), np.float32), np.zeros((1, 1), np.int32), 1
     unseen = 257 - len(seen)
     costs, nexts, index, totals, kinds, hold = [], [], [], [], [], []
     for k in range(order + 1):
@@ -195,12 +204,12 @@ def automaton(rows, order=ORDER):
                 block[hit] = (starts[m] + at)[hit]
                 done[part] |= hit
         nexts.append(to)
-    return columns, np.concatenate(costs), np.concatenate(nexts)
+    return columns, np.concatenate(costs), np.concatenate(nexts), int(starts[min(order, len(index))])
 
 
-def score(model, syms, starts, lengths):
-    """log10 probability of each document: of its bytes and its end."""
-    columns, costs, nexts = model
+def walk(model, syms):
+    """The automaton's log10 cost of each symbol from ORDER on, and whether it was read in a state below `open_below`."""
+    columns, costs, nexts, open_below = model
     width = costs.shape[1]
     col = columns[syms]
     n = len(col) - ORDER
@@ -215,20 +224,48 @@ def score(model, syms, starts, lengths):
     for j in range(ORDER):
         state = flat_next.take(state + pad[begin + j])
     out = np.empty((steps, lanes), np.float32)
+    loose = np.zeros((steps, lanes), bool)
     for j in range(steps):
         at = state + grid[j]
         out[j] = flat_cost.take(at)
+        if open_below:
+            np.less(state, open_below * width, out=loose[j])
         state = flat_next.take(at)
-    total = np.concatenate([[0.0], np.cumsum(out.T.ravel()[:n], dtype=float)])
-    return total[starts - ORDER + lengths + 1] - total[starts - ORDER]
-
-
-def _score_batches(model, heavy):
-    """(uid, doc_id, n_tokens, n_known, logs, score, rare): rare holds the hashes of the words that the heavy table lacks."""
+    return out.T.ravel()[:n], loose.T.ravel()[:n]
+
+
+def score(model, tail, syms, starts, lengths):
+    """(log10 probability of each document, of its bytes and its end, without open grams; document, key and number of the open grams)."""
+    cost, loose = walk(model, syms)
+    begin, end = starts - ORDER, starts - ORDER + lengths + 1
+    at = np.flatnonzero(loose)
+    doc = np.searchsorted(begin, at, "right") - 1
+    ok = (doc >= 0) & (at < end[doc])
+    at, doc = at[ok], doc[ok]
+    key = np.zeros(len(at), np.int64)
+    for j in range(ORDER + 1):
+        key = (key << 9) | syms[at + j]
+    order = np.lexsort((key, doc))
+    at, doc, key = at[order], doc[order], key[order]
+    priced = np.zeros(len(at), np.float32)
+    open_ = np.ones(len(at), bool)
+    if len(tail[0]) and len(at):
+        pos = np.minimum(np.searchsorted(tail[0], key), len(tail[0]) - 1)
+        open_ = tail[0][pos] != key
+        priced = np.where(open_, np.float32(0), tail[1][pos])
+    cost[at] = priced
+    total = np.concatenate([[0.0], np.cumsum(cost, dtype=float)])
+    doc, key = doc[open_], key[open_]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+    return total[end] - total[begin], doc[first], key[first], np.diff(np.r_[first, len(key)])
+
+
+def _score_batches(model, tail, heavy):
+    """(uid, doc_id, n_tokens, n_known, logs, score, rare, grams): rare holds the hashes of the words that the heavy table lacks, grams the open grams."""
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
-        tables = model.value
+        tables, more = model.value, tail.value
         keys, counts = heavy.value
         logs = np.log10(counts + 1.0)
         for batch, data, offs in slices(batches):
@@ -248,12 +285,15 @@ def _score_batches(model, heavy):
             rare = ~found
             cut = np.concatenate([[0], np.cumsum(rare)])[first]
             syms, begin = symbols(text, at)
+            scores, owner, gram, times = score(tables, more, syms, begin, np.diff(at))
+            open_ = pa.StructArray.from_arrays([pa.array(gram), pa.array(times)], names=["key", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid + np.arange(docs)), batch.column(0), pa.array(np.diff(first) + 1), pa.array(np.diff(known[first])), pa.array(np.diff(total[first])),
-                    pa.array(score(tables, syms, begin, np.diff(at))), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[rare])),
+                    pa.array(scores), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[rare])),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(docs + 1)), pa.int32()), open_),
                 ],
-                names=["uid", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
+                names=["uid", "doc_id", "n_tokens", "n_known", "logs", "score", "rare", "grams"],
             )
             uid += docs
 
@@ -268,18 +308,67 @@ def _suffixes(grams_, order):
     return long.groupBy("x.length", "x.ctx", "sym").agg(F.sum("n").alias("n"))
 
 
-def train(counts, entries=ENTRIES, order=ORDER):
-    """The automaton of counted contexts."""
+def train(counts, entries=None, order=ORDER, cells=CELLS, tail=TAIL):
+    """(automaton of the counted contexts, (keys, costs) of frequent grams beyond it, a function that prices others or None)."""
     rows = settle(_suffixes(counts, order), "contexts")
     width = rows.select("sym").distinct().count() + 1
-    sizes = rows.groupBy("length", "ctx").agg(F.sum("n").alias("total"))
-    kept = sizes.orderBy(F.desc("total"), "length", "ctx").limit(max(1, entries // width)).select("length", "ctx")
+    sizes = settle(rows.groupBy("length", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "sizes")
+    most = max(1, (entries or cells) // width)
+    kept = settle(sizes.orderBy(F.desc("total"), "length", "ctx").limit(most).select("length", "ctx"), "kept")
     got = rows.join(F.broadcast(kept), ["length", "ctx"]).select("length", "ctx", "sym", "n").toArrow()
-    drop_scratch(rows)
-    return automaton([got.column(i).to_numpy() for i in range(4)], order)
+    columns, costs, nexts, full = automaton([got.column(i).to_numpy() for i in range(4)], order)
+    if entries or sizes.count() <= most:
+        for x in (rows, sizes, kept):
+            drop_scratch(x)
+        return (columns, costs, nexts, 0), (np.zeros(0, np.int64), np.zeros(0, np.float32)), None
+    own = rows.filter(F.col("length") == order).join(F.broadcast(kept.filter(F.col("length") == order)), ["length", "ctx"], "left_anti").join(sizes, ["length", "ctx"])
+    own = own.select(
+        F.shiftleft("ctx", 9).bitwiseOR(F.col("sym")).alias("key"), F.floor(F.log2("n") * 32).alias("step"), F.log10((F.col("n") - 0.5) / F.col("total")).alias("cost")
+    )
+    known = settle(own, "grams")
+    least, room = 2**11, tail  # steps from `least` on hold at most `tail` grams
+    for r in sorted(known.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    top = known.filter(F.col("step") >= least).select("key", F.col("cost").cast("float").alias("cost")).toArrow()
+    keys, price = top.column(0).to_numpy(), top.column(1).to_numpy()
+    at = np.argsort(keys)
+    rest = known.filter(F.col("step") < least).select("key", "cost")
+    return (columns, costs, nexts, full), (keys[at], price[at]), lambda asked: _price(asked, rest, rows, sizes, order)
+
+
+def _price(asked, rest, rows, sizes, order):
+    """(key, cost) of distinct grams (key): of trained ones by `rest`, of new ones by all their contexts."""
+    priced = settle(asked.join(rest, "key", "left"), "priced")
+    up = rows.select((F.col("length") + 1).alias("length"), F.col("ctx").alias("up"), "sym", F.col("n").alias("above"))
+    both = rows.filter("length > 0").withColumn("up", F.expr("ctx & (shiftleft(1L, 9 * (length - 1)) - 1)")).join(up, ["length", "up", "sym"])
+    # how often the shorter context has what the longer one has seen
+    stats = sizes.join(both.groupBy("length", "ctx").agg(F.sum("above").alias("taken")), ["length", "ctx"], "left")
+    each = [F.struct(F.lit(k).alias("length"), F.shiftright("key", 9).bitwiseAND(F.lit((1 << (9 * k)) - 1)).alias("ctx")) for k in range(order + 1)]
+    chain = priced.filter("cost is null").select("key", F.col("key").bitwiseAND(F.lit(511)).cast("bigint").alias("sym"), F.explode(F.array(*each)).alias("x")).select("key", "sym", "x.*")
+
+    def look(left, right, on, short, how):
+        # contexts of few symbols, which many grams share, are broadcast: 2**(9 * short) at most
+        a = left.filter(F.col("length") <= short).join(F.broadcast(right.filter(F.col("length") <= short)), on, how)
+        return a.unionByName(left.filter(F.col("length") > short).join(right.filter(F.col("length") > short), on, how))
+
+    chain = look(chain, stats, ["length", "ctx"], 2, "inner")
+    chain = look(chain, rows, ["length", "ctx", "sym"], 1, "left")
+    wide = chain.groupBy("key").agg(*(F.max(F.when(F.col("length") == k, F.col(c))).alias(f"{c}{k}") for k in range(order + 1) for c in ("total", "kinds", "taken", "n")))
+    n, total, kinds, taken = ([F.col(f"{c}{k}") for k in range(order + 1)] for c in ("n", "total", "kinds", "taken"))
+    below, cost = -F.log10(257.0 - kinds[0]), None  # below: from the context of k - 1 symbols, what the one of k has seen excluded
+    for k in range(order + 1):
+        here = F.when(n[k].isNotNull(), F.log10((n[k] - 0.5) / total[k])).otherwise(F.log10(kinds[k] / 2.0 / total[k]) + below)
+        cost = here if cost is None else F.when(total[k].isNotNull(), here).otherwise(cost)
+        if k < order:
+            left, rest_ = total[k] - taken[k + 1], kinds[k] - kinds[k + 1]
+            below = F.when(n[k].isNotNull(), F.log10((n[k] - 0.5) / left)).otherwise(F.when(rest_ > 0, F.log10(rest_ / 2.0 / left)).otherwise(F.lit(0.0)) + below)
+    return priced.filter("cost is not null").union(wide.select("key", cost.alias("cost")))
 
 
-def score_texts(docs, training, heavy=HEAVY, entries=ENTRIES):
+def score_texts(docs, training, heavy=HEAVY, entries=None, cells=CELLS, tail=TAIL):
     """uid, doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     counts = settle(training.select("doc_id", "text").mapInArrow(_count, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -291,16 +380,24 @@ def score_texts(docs, training, heavy=HEAVY, entries=ENTRIES):
     keys, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], n[order]))
-    model = spark.sparkContext.broadcast(train(counts.filter("kind = 1").select("key", "n"), entries))
-    schema = "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double, rare array<bigint>"
-    scored = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_batches(model, common), schema), "scored")
+    tables, often, price = train(counts.filter("kind = 1").select("key", "n"), entries, cells=cells, tail=tail)
+    model, often = spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(often)
+    del tables
+    schema = "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double, rare array<bigint>, grams array<struct<key:bigint,n:bigint>>"
+    scored = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_batches(model, often, common), schema), "scored")
     rare = scored.select("uid", F.explode("rare").alias("key")).join(words.filter(F.col("n") < least), "key")
     rare = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = scored.drop("rare").join(rare, "uid", "left")
+    out = scored.drop("rare", "grams").join(rare, "uid", "left")
+    total = F.col("score")
+    if price:
+        open_ = scored.select("uid", F.explode("grams").alias("g")).select("uid", "g.key", "g.n")
+        costs = settle(price(open_.select("key").distinct()), "costs")
+        out = out.join(open_.join(costs, "key").groupBy("uid").agg(F.sum(F.col("n") * F.col("cost")).alias("open")), "uid", "left")
+        total += F.coalesce("open", F.lit(0.0))
     end = float(np.log10(ends + 1))
     return out.select(
         "uid", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"), total.alias("score"),
     )
 
 

@@ -37,6 +37,21 @@ def test_a_bounded_trie_still_gives_probabilities(spark):
     assert sum(few.values()) < sum(full.values()) < 0 and max(few.values()) < 0
 
 
+@pytest.mark.parametrize("cells, tail", [(1, 0), (600, 40), (600, 10**6)])
+def test_contexts_beyond_the_automaton_still_count(spark, cells, tail):
+    rng = random.Random(4)
+    voc = ["ab", "abc", "Zé", "q", "the", "tha", "abq", "hat", "cab"]
+    texts = [" ".join(rng.choice(voc) for _ in range(rng.randrange(12))) for _ in range(80)] + [None, "", " a\n\nb "]
+    held = ["abc ab", "the é q", "zzzz", "", " x\ty ", "ab" * 50, "catab hatthe qq", "abc zthe ab", *texts[:10]]
+    schema = "doc_id long, text string"
+    docs, training = (spark.createDataFrame(list(enumerate(x)), schema) for x in (held, texts))
+    rows = {r.doc_id: r.score for r in ppm.score_texts(docs, training, cells=cells, tail=tail).collect()}
+    logp = ppm.brute(texts)
+    assert len(rows) == len(held)
+    for i, t in enumerate(held):
+        assert rows[i] == pytest.approx(logp(t), abs=1e-3)
+
+
 def test_scores_of_nasty_rows(nasty, empty):
     rows = ppm.score_texts(nasty, nasty.filter("doc_id % 2 = 0")).collect()
     assert len(rows) == nasty.count() and all(r.score < 0 and math.isfinite(r.score) for r in rows)

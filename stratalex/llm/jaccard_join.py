@@ -62,11 +62,11 @@ DEALS, LEAST_DEALS = 8, 1024
 
 
 def bands(num, den, most=2**40):
-    """Upper sizes of the bands."""
+    """Upper sizes of the bands; a document's partners are in its own band or the ones next to it."""
     out, u = [], 1
     while u < most:
         out.append(u)
-        u = max(u + 1, int(u * RATIO))
+        u = max(u + 1, int(u * RATIO), u * den // num)
     return np.array(out + [most], np.int64)
 
 
@@ -281,8 +281,8 @@ def _close(key, rows, num, den):
     """Pairs of different roots that their sketches don't rule out.
 
     rows: (cls, root, n, sketch, smallest keys) of one key and pair of blocks.
-    A sketch is folded to half its length by XOR of its halves. A pair that
-    shares a smaller key is left to that one.
+    A sketch is folded to half its length by XOR of its halves, as often as
+    the shorter one of a pair asks for. A pair that shares a smaller key is left to that one.
     """
     rows.sort(key=lambda r: r[2])
     n = np.array([r[2] for r in rows])
@@ -292,14 +292,14 @@ def _close(key, rows, num, den):
     size = np.array([len(w) for w in sketches])
     layers = {}
     for k in sorted(set(size.tolist())):
-        layers[k] = np.stack([w if len(w) == k else np.bitwise_xor(w[:k], w[k:]) if len(w) == 2 * k else np.zeros(k, np.uint64) for w in sketches])
+        layers[k] = np.stack([np.bitwise_xor.reduce(w.reshape(-1, k)) if len(w) >= k else np.zeros(k, np.uint64) for w in sketches])
     for i in range(len(rows) - 1):
         to = int(np.searchsorted(n, n[i] * den // num, "right"))
         if to <= i + 1:
             continue
         k = int(size[i])
         other = np.arange(i + 1, to)
-        other = other[(root[other] != root[i]) & (cls[other] != cls[i]) & (size[other] <= 2 * k)]
+        other = other[(root[other] != root[i]) & (cls[other] != cls[i])]
         if len(other):
             apart = np.bitwise_count(layers[k][other] ^ layers[k][i]).sum(1)
             for j in other[(den + num) * apart.astype(np.int64) <= (den - num) * (n[i] + n[other])]:

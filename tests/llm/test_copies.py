@@ -113,3 +113,32 @@ def test_join_of_nasty_rows(nasty, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert 6 not in ids and 8 not in ids and len([i for i in ids if i == 5]) == 1 and {0, 1, 2, 50, None} <= set(ids)
     assert jaccard_join.link_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("num, small, large", [(80, 126, 157), (60, 61, 100), (30, 31, 100)])
+def test_partners_of_any_threshold_share_a_key(num, small, large):
+    sets = np.sort(np.random.default_rng(1).integers(0, 2**63, large).astype(np.uint64))
+    keys, n = jaccard_join.keys_of(np.r_[sets[:small], sets], np.array([0, small, small + large]), num, 100)
+    assert set(keys[: n[0]].tolist()) & set(keys[n[0] :].tolist())
+
+
+def test_sketches_of_very_different_lengths_are_compared():
+    sets = np.random.default_rng(2).integers(0, 2**63, 500).astype(np.uint64)
+    none = np.zeros(0, np.int64)
+    rows = [(i + 1, i + 1, n, jaccard_join.bit_sketch(sets[:n]), none) for i, n in enumerate((100, 500))]
+    assert list(jaccard_join._close(0, rows, 20, 100)) == [(1, 2)]
+
+
+def test_components_at_four_fifths(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (126, 157, 180, 400):
+        base = [f"v{rng.randrange(10**9)}" for _ in range(n + 3)]
+        for part in (1, 0.81, 0.805, 0.79, 0.65):
+            rows.append((len(rows), " ".join(base[: int(n * part) + 3])))
+    base = [f"v{rng.randrange(10**9)}" for _ in range(160)]
+    rows += [(100, " ".join(base)), (101, " ".join(base[:129]))]
+    want = jaccard_join.brute(rows, num=80)
+    assert want[101][1] == 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), num=80).collect()}
+    assert got == want

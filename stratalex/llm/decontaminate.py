@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import LOWER, slices, table
+from stratalex.llm.textkit import LOWER, bounded, slices, table
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -204,7 +204,7 @@ def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_0
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {', '.join(f'`{c}` {k}' for c, k in zip(added, ('bigint', 'bigint', 'array<string>', 'boolean')))}")
+    return docs.mapInArrow(bounded(run), f"{schema}, {', '.join(f'`{c}` {k}' for c, k in zip(added, ('bigint', 'bigint', 'array<string>', 'boolean')))}")
 
 
 def remove_contaminated(docs, benchmark, **options):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import settle, slices, table
+from stratalex.llm.textkit import bounded, settle, slices, table
 
 P = 2**31 - 1
 BASES = (1_610_612_741, 805_306_457)
@@ -135,10 +135,10 @@ def groups(docs):
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    fps = settle(docs.mapInArrow(_fingerprint_batches(), SHA_SCHEMA), "fp")
+    fps = settle(docs.mapInArrow(bounded(_fingerprint_batches()), SHA_SCHEMA), "fp")
     key = ["n_bytes", "fp"]
     held = spark.sparkContext.broadcast(_repeated(fps))
-    texts = settle(docs.mapInArrow(_fingerprint_batches(held), SHA_SCHEMA + ", raw binary"), "texts")
+    texts = settle(docs.mapInArrow(bounded(_fingerprint_batches(held)), SHA_SCHEMA + ", raw binary"), "texts")
     most = fps.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id")).filter("n > 1").drop("n")
     # settled, so that the join with it has two plain exchanges, which adaptive execution may split
     lead = texts.join(most, on=[texts[k] == most[k] for k in key] + [texts.doc_id.eqNullSafe(most.doc_id)], how="left_semi").dropDuplicates(key).select(*key, F.col("raw").alias("lead"))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import LOWER, WHITE, drop_scratch, settle, slices, span_hashes, spans, table
+from stratalex.llm.textkit import LOWER, WHITE, bounded, drop_scratch, settle, slices, span_hashes, spans, table
 
 ORDER = 5
 END = 256
@@ -371,7 +371,7 @@ def _price(asked, rest, rows, sizes, order):
 def score_texts(docs, training, heavy=HEAVY, entries=None, cells=CELLS, tail=TAIL):
     """uid, doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    counts = settle(training.select("doc_id", "text").mapInArrow(_count, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = settle(training.select("doc_id", "text").mapInArrow(bounded(_count), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter("kind = 0").select("key", "n")
     total = counts.agg(F.sum(F.expr("if(kind <> 1, n, 0)")).alias("tokens"), F.count_if(F.col("kind") != 1).alias("distinct"), F.sum(F.expr("if(kind = 2, n, 0)")).alias("ends")).first()
     tokens, distinct, ends = int(total.tokens or 0), int(total.distinct or 0), int(total.ends or 0)
@@ -384,7 +384,7 @@ def score_texts(docs, training, heavy=HEAVY, entries=None, cells=CELLS, tail=TAI
     model, often = spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(often)
     del tables
     schema = "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double, rare array<bigint>, grams array<struct<key:bigint,n:bigint>>"
-    scored = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score_batches(model, often, common), schema), "scored")
+    scored = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(bounded(_score_batches(model, often, common)), schema), "scored")
     rare = scored.select("uid", F.explode("rare").alias("key")).join(words.filter(F.col("n") < least), "key")
     rare = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
     out = scored.drop("rare", "grams").join(rare, "uid", "left")

@@ -9,6 +9,8 @@ text that is longer than that forms a slice of its own.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,13 +39,42 @@ def small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release():
+    """Gives back what a task's arrays took: a Python worker outlives its tasks and idles beside those of other stages."""
+    powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def bounded(run):
+    """The function of a mapInArrow, with release() at each task's end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def shared_dir(spark):
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir).
+
+    Where it is unset and all tasks run on this machine, a folder of our own;
+    on a cluster that is an error, since executors would not see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stratalex-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -128,6 +159,9 @@ class _Powers:
     """Powers of an odd base and of its inverse modulo 2**64; pickled empty."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self):
         self.p = self.q = np.zeros(0, np.uint64)
 
     def __reduce__(self):

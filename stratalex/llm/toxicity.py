@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import shingle_sets, slices, small_batches, table, words
+from stratalex.llm.textkit import bounded, shingle_sets, slices, small_batches, table, words
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6)
@@ -190,14 +190,14 @@ def learn(docs, labels, sample=SAMPLE):
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `sample` rows
     # of near copies only one speaks: those that share the least hash of three-word shingles
-    own = own.mapInArrow(_least, "doc_id bigint, text string, toxic int, least bigint")
+    own = own.mapInArrow(bounded(_least), "doc_id bigint, text string, toxic int, least bigint")
     own = own.groupBy("least", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic").persist()
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
     n1, n0 = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
     if not n1 or not n0:
         own.unpersist()
         return {"weights": {}, "exceptions": [], "prior": PRIOR}
-    found = own.mapInArrow(_counts, "entry string, k1 bigint, k bigint")
+    found = own.mapInArrow(bounded(_counts), "entry string, k1 bigint, k bigint")
     counts = found.groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k").alias("k"))
     counts = counts.filter("k >= 3").persist()
     tests = max(1, counts.count())
@@ -217,7 +217,7 @@ def learn(docs, labels, sample=SAMPLE):
     exceptions = []
     if weights:
         held = docs.sparkSession.sparkContext.broadcast(sorted(weights))
-        seen = own.mapInArrow(_phrases(held), "phrase string, entry string, toxic int")
+        seen = own.mapInArrow(bounded(_phrases(held)), "phrase string, entry string, toxic int")
         clean = seen.groupBy("phrase").agg(F.sum("toxic").alias("k1"), F.count("*").alias("k")).filter("k1 = 0 and k >= 3")
         exceptions = sorted(r.phrase for r in clean.orderBy(F.desc("k"), "phrase").limit(ENTRIES).toLocalIterator())
     own.unpersist()
@@ -262,7 +262,7 @@ def score(docs, model, text="text", name="score"):
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score_batches(held, docs.columns.index(text), name), f"{schema}, `{name}` double")
+    return docs.mapInArrow(bounded(_score_batches(held, docs.columns.index(text), name)), f"{schema}, `{name}` double")
 
 
 def remove_toxic(docs, labels, threshold=0.5, training=None):

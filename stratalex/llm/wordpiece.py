@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import WHITE, slices, small_batches, span_hashes, spans, table
+from stratalex.llm.textkit import WHITE, bounded, slices, small_batches, span_hashes, spans, table
 
 
 def vocabulary(path=None):
@@ -129,7 +129,7 @@ def count_tokens(docs, pieces=None, text="text"):
     docs = docs.drop("n_words", "n_tokens")
     held = docs.sparkSession.sparkContext.broadcast(Automaton(pieces if pieces is not None else vocabulary()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_count_batches(held, text), f"{schema}, n_words bigint, n_tokens bigint")
+    return docs.mapInArrow(bounded(_count_batches(held, text)), f"{schema}, n_words bigint, n_tokens bigint")
 
 
 def op10_token_counts(spark, sf_dir):

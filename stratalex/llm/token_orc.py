@@ -9,13 +9,18 @@ with a Bloom filter on doc_id, let a lookup skip stripes and strides.
 
 Encoding: byte-level BPE pieces never cross the place before a single space
 between two other characters, so a text is cut there and each distinct piece,
-known by a 64-bit hash, is encoded once in a while, by the tokenizers library;
-texts in which white space doesn't stand alone, or that hold a special token's
-string, are encoded whole.
+known by a 64-bit hash, is encoded once in a task's while, by the tokenizers
+library; a task holds at most HELD_BYTES of known pieces, and nothing after its
+end. Texts in which white space doesn't stand alone, or that hold a special
+token's string, are encoded whole.
+
+Files have a third column, tie: a hash of the text that orders rows of equal
+doc_id, within files and across their edges.
 
 Defined cases: a null text is empty (its ids are the end id alone); rows of
-equal doc_id are ordered by their ids; a null doc_id sorts first; an empty
-table gives an empty result; further columns are ignored.
+equal doc_id are ordered by tie, and those of equal tie have equal ids; a null
+doc_id sorts first; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import WHITE, scratch_path, settle, slices, small_batches, span_hashes, spans, table
+from stratalex.llm.textkit import WHITE, bounded, scratch_path, settle, slices, small_batches, span_hashes, spans, table
 
 END_ID = 2
 STRIPE_BYTES = 16 * 2**20
 STRIDE_ROWS = 1000
+#: Bytes of pieces, with their ids, that a task knows at once.
+HELD_BYTES = 24 * 2**20
 
 
 def vocabulary(name="byte_bpe_50k.json"):
@@ -41,24 +48,14 @@ def vocabulary(name="byte_bpe_50k.json"):
     return public_tokenizers.path(name)
 
 
-def _held():
-    """Pieces that this worker process has encoded, by tokenizer: kept on the library's module, which outlives a task."""
-    import tokenizers
-
-    if not hasattr(tokenizers, "_stratalex_pieces"):
-        tokenizers._stratalex_pieces = {}
-    return tokenizers._stratalex_pieces
-
-
 class Encoder:
     """Ids of whole texts by way of their distinct pieces, which are known by 64-bit hashes."""
 
-    def __init__(self, source, held=1_000_000):
+    def __init__(self, source, held=HELD_BYTES):
         import json
 
         from tokenizers import Tokenizer
 
-        key = hash(source)
         self.tokenizer = Tokenizer.from_str(source)
         told = json.loads(source)
         pre = told.get("pre_tokenizer") or {}
@@ -70,7 +67,7 @@ class Encoder:
         for token, i in vocab.items():
             self.bytes[i] = len(token)
         none = np.zeros(0, np.int64)
-        self.cache = _held().setdefault(key, {"keys": none.astype(np.uint64), "at": none, "size": none, "pool": none.astype(np.int32)})
+        self.cache = {"keys": none.astype(np.uint64), "at": none, "size": none, "pool": none.astype(np.int32)}
         self.held = held
 
     def whole(self, texts):
@@ -131,7 +128,7 @@ class Encoder:
         c = self.cache
         pos = np.minimum(np.searchsorted(c["keys"], keys), max(0, len(c["keys"]) - 1))
         new = c["keys"][pos] != keys if len(c["keys"]) else np.ones(len(keys), bool)
-        if len(c["keys"]) + int(new.sum()) > self.held and len(c["keys"]):
+        if sum(x.nbytes for x in c.values()) > self.held:
             for k in c:
                 c[k] = c[k][:0]
             new = np.ones(len(keys), bool)
@@ -185,17 +182,22 @@ def _encode_batches(source, end_id):
         for batch, data, offs in slices(batches, limit=1_500_000):
             flat, begin = encode(batch.column(1).fill_null(""), data, offs, end_id)
             col = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), col], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), col], names=["doc_id", "tie", "ids"])
 
-    return run
+    return bounded(run)
 
 
 def encode(docs, tokenizer=None, end_id=END_ID):
-    """(doc_id, ids) of docs, ids ending with end_id; tokenizer: the path of a tokenizers file."""
+    """(doc_id, tie, ids) of docs, ids ending with end_id; tokenizer: the path of a tokenizers file."""
     small_batches(docs.sparkSession)
     with open(tokenizer or vocabulary(), encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encode_batches(source, end_id), "doc_id bigint, ids array<int>")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", tie())
+    return own.mapInArrow(_encode_batches(source, end_id), "doc_id bigint, tie bigint, ids array<int>")
+
+
+def tie():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
 
 
 def write_ids(docs, path, tokenizer=None, end_id=END_ID):
@@ -204,8 +206,8 @@ def write_ids(docs, path, tokenizer=None, end_id=END_ID):
     The texts are dealt to their ranges before they are encoded: they are
     smaller then, and no range has to wait for a task that encodes another.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = encode(ranged, tokenizer, end_id).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), tie())
+    rows = encode(ranged, tokenizer, end_id).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     options = {
         "orc.compress": "ZSTD", "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": STRIDE_ROWS,
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -217,18 +219,19 @@ def write_ids(docs, path, tokenizer=None, end_id=END_ID):
 
 
 def read_ids(spark, path, doc_ids=None):
-    """(doc_id, ids) of files of write_ids; doc_ids: only those, by row index and Bloom filter."""
-    rows = spark.read.schema("doc_id bigint, ids array<int>").orc(path)
+    """(doc_id, tie, ids) of files of write_ids; doc_ids: only those, by row index and Bloom filter."""
+    rows = spark.read.schema("doc_id bigint, tie bigint, ids array<int>").orc(path)
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(list(doc_ids)))
 
 
 def _digest_batches(batches):
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         offs = lists.offsets.to_numpy()
         raw = np.ascontiguousarray(lists.values.to_numpy().astype("<u4", copy=False)).tobytes()
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+        told = [*batch.columns[:3], pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(told, names=["file", "doc_id", "tie", "n_tokens", "ids_crc32"])
 
 
 def layout(spark, path):
@@ -237,13 +240,14 @@ def layout(spark, path):
     Files hold ascending ranges: their sums, one row a file, give where each
     begins, and running sums within each file do the rest.
     """
-    rows = read_ids(spark, path).select(F.input_file_name().alias("file"), "doc_id", "ids")
-    told = settle(rows.mapInArrow(_digest_batches, "file string, doc_id bigint, n_tokens bigint, ids_crc32 bigint"), "layout")
-    files = told.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct("doc_id", "ids_crc32")).alias("low"), F.max(F.struct("doc_id", "ids_crc32")).alias("high"))
-    order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    # part numbers follow the ranges
-    begin = files.select("file", "n", F.regexp_extract("file", r"part-(\d+)", 1).alias("name")).select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    rows = read_ids(spark, path).select(F.input_file_name().alias("file"), "doc_id", "tie", "ids")
+    told = settle(rows.mapInArrow(bounded(_digest_batches), "file string, doc_id bigint, tie bigint, n_tokens bigint, ids_crc32 bigint"), "layout")
+    files = told.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    # part numbers follow the ranges; they outgrow their five digits
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    order = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    begin = files.select("file", "n", number.alias("number")).select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     at = told.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return at.join(begin, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -17,8 +17,10 @@ to many tasks.
 
 Defined cases: a null or wordless text has size 0 and is never taken; null
 sources form one source, the last; documents of equal key are ordered by
-doc_id, then by size; repeated rows are documents each; an empty table gives
-an empty result; the result doesn't depend on how rows are partitioned.
+doc_id, then by size, then by a hash of the text; a row without doc_id has the
+key of its text; repeated rows are documents each, with their own part of the
+budget; an empty table gives an empty result; the result doesn't depend on how
+rows are partitioned; the columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -42,11 +44,12 @@ def word_count(text):
 
 
 def targets(sizes, weights=WEIGHTS, share=SHARE, limit=LIMIT):
-    """(source, source_size, target, budget) of (source, source_size).
+    """(source, source_size, target, budget) of (source, source_size); further columns are carried.
 
     One row per source: the number of sources is that of a catalogue, not of
     documents, and only these sums are brought together.
     """
+    keys = [c for c in sizes.columns if c != "source_size"]
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     own = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
@@ -61,52 +64,61 @@ def targets(sizes, weights=WEIGHTS, share=SHARE, limit=LIMIT):
     # sources below the level keep their cap; the first one above it sets the level
     free = F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "level"))).over(whole)
     own = own.withColumn("target", F.when(free.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), free["level"] * F.col("weight"))))
-    return own.select("source", "source_size", "target", F.round("target").cast("bigint").alias("budget"))
+    return own.select(*keys, "source_size", "target", F.round("target").cast("bigint").alias("budget"))
+
+
+def mix_key():
+    """The hash-random key of a row: of its doc_id, or of its text where it has none."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(SALT), own).cast("binary"))
 
 
 def mix(docs, weights=WEIGHTS, share=SHARE, limit=LIMIT):
     """doc_id, source, size, source_size, target, taken, key of each row; taken: words the mix takes, repeats counted."""
-    key = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
-    return take(rows, weights, share, limit)
-
-
-def take(rows, weights=WEIGHTS, share=SHARE, limit=LIMIT):
-    rows = rows.withColumn("bucket", F.substring("key", 1, DIGITS))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    want = targets(buckets.groupBy("source").agg(F.sum("held").alias("source_size")), weights, share, limit)
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = buckets.withColumn("base", F.coalesce(F.sum("held").over(ahead), F.lit(0))).alias("b")
-    begin = base.join(want.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).select("b.source", "b.bucket", "base", "source_size", "target", "budget")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    told = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    both = told.join(begin.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.bucket") == F.col("g.bucket")))
-    at = F.col("base") + F.col("before")
+    rows = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), mix_key().alias("_key")), "sizes")
+    told = take(rows, weights, share, limit)
+    return told.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"), F.col("_key").alias("key"))
+
+
+def take(rows, weights=WEIGHTS, share=SHARE, limit=LIMIT, ties=()):
+    """rows (doc_id, source, _size, _key, ...) with source_size, target and _taken added.
+
+    Each row is its own: its place is its own running sum, so repeated rows
+    share a source's budget as any others do.
+    """
+    spot = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # no null, so that both sides are dealt alike
+    rows = rows.withColumn("_spot", spot).withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    buckets = settle(rows.groupBy("_spot", "source", "_bucket").agg(F.sum("_size").alias("_held")), "buckets")
+    want = targets(buckets.groupBy("_spot", "source").agg(F.sum("_held").alias("source_size")), weights, share, limit)
+    ahead = Window.partitionBy("_spot").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begin = buckets.withColumn("_base", F.coalesce(F.sum("_held").over(ahead), F.lit(0))).drop("source", "_held").join(want.drop("source"), "_spot")
+    inside = Window.partitionBy("_spot", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(begin.hint("merge"), ["_spot", "_bucket"])
+    at = F.col("_base") + F.col("_before")
     epochs = F.expr("budget div source_size")
     rest = F.col("budget") - epochs * F.col("source_size")
-    taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.col("size") * epochs + F.least(F.col("size"), F.greatest(F.lit(0), rest - at)))
-    return both.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "key")
+    taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.col("_size") * epochs + F.least(F.col("_size"), F.greatest(F.lit(0), rest - at)))
+    return both.withColumn("_taken", taken.cast("bigint")).drop("_spot", "_bucket", "_base", "_before", "budget")
 
 
 def mixed_documents(docs, weights=WEIGHTS, share=SHARE, limit=LIMIT):
-    """The mix itself, with the columns of docs: each document as often as whole epochs take it, and cut where the budget ends.
+    """The mix itself, with the columns of docs: each row as often as whole epochs take it, and cut where the budget ends.
 
-    Rows of one doc_id share what the mix takes of them; a row is repeated, or
-    cut, by its own part.
+    Sizes are summed in a pass of their own; the texts then move once, to the
+    range of keys that they fall into.
     """
-    key = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    size = word_count(F.col("text"))
-    rows = docs.withColumn("_size", size)
-    taken = take(settle(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes"), weights, share, limit)
-    own = taken.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).filter("taken > 0").alias("t")
-    both = rows.alias("d").join(own, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("t.taken") / F.col("t.size")).cast("int"))
-    each = both.select("d.*", F.col("t.taken").alias("_taken"), F.explode(copies).alias("_copy"))
+    names = docs.columns
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("_size"), mix_key().alias("_key"), F.xxhash64("text").alias("_tie"))
+    taken = take(own, weights, share, limit, ties=["_tie"]).filter("_taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
+    each = taken.select("_row", "_size", "_taken", F.explode(copies).alias("_copy"))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     whole = left >= F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), left))
-    own = {"text": text, "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.char_length(text)).cast("bigint")} if "n_chars" in docs.columns else {"text": text}
-    return each.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(whole, F.col("_row.text")).otherwise(cut_words(F.col("_row.text"), left))
+    new = {"text": text}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(whole, F.col("_row.n_chars")).otherwise(F.char_length(text)).cast("bigint")
+    return each.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 def cut_words(text, n):
@@ -121,7 +133,7 @@ def op3_mixing(spark, sf_dir):
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) AS key,
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))) AS key,
          coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')), 0) AS size
   FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),

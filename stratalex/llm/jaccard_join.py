@@ -30,10 +30,17 @@ never compared is compared pair by pair, in blocks, first by the Hamming
 distance of whole sketches, which is at most |A ^ B|, and then by the sets, so
 no link is lost.
 
+Rows are told apart by a 64-bit hash of doc_id and text, so that ids that are
+null or used twice lose no link. Joins on the class in the middle of a star, or
+on the root of a large component, deal such a key to as many places as it has
+thousands of rows.
+
 Defined cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; repeated rows of a doc_id are documents of
-equal sets; an empty table gives an empty result; further columns are carried
-by the operator that keeps one document of each component.
+equal sets; a row without doc_id takes part in links as any other, and the
+component_id is the smallest doc_id of those that have one (null if none has);
+an empty table gives an empty result; further columns are carried by the
+operator that keeps one document of each component.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import drop_scratch, mix, settle, shingle_sets, slices, small_batches, table, words
+from stratalex.llm.textkit import bounded, drop_scratch, mix, settle, shingle_sets, slices, small_batches, table, words
 
 K = 4
 NUM, DEN = 85, 100
@@ -59,6 +66,10 @@ SMALLEST = 64
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
 DEALS, LEAST_DEALS = 8, 1024
+#: Rows of one key in a join beyond which the key is dealt to several places, and the most keys for which that is done.
+HOT_ROWS, HOT_KEYS = 1000, 2**16
+#: Candidate pairs that a task holds before it sends them on.
+PAIRS = 200_000
 
 
 def bands(num, den, most=2**40):
@@ -158,13 +169,16 @@ def _distinct(a, b):
     return a[new], b[new]
 
 
-SHAPE = "kind int, deal int, doc_id bigint, n bigint, cls bigint, blob binary"
+SHAPE = "kind int, deal int, doc_id bigint, rid bigint, n bigint, cls bigint, blob binary"
 
 
-def _rows(kind, deal=None, doc_id=None, n=None, cls=None, blob=None):
-    size = next(len(x) for x in (deal, doc_id, cls, blob) if x is not None)
-    col = lambda x, t: pa.array(x, t) if x is not None else pa.nulls(size, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), col(deal, pa.int32()), doc_id if doc_id is not None else pa.nulls(size, pa.int64()), col(n, pa.int64()), col(cls, pa.int64()), col(blob, pa.binary())], names=["kind", "deal", "doc_id", "n", "cls", "blob"])
+def _rows(kind, deal=None, doc_id=None, rid=None, n=None, cls=None, blob=None):
+    size = next(len(x) for x in (deal, cls, blob) if x is not None)
+    col = lambda x, t: pa.nulls(size, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, kind, np.int32)), col(deal, pa.int32()), *(col(x, pa.int64()) for x in (doc_id, rid, n, cls)), col(blob, pa.binary())],
+        names=["kind", "deal", "doc_id", "rid", "n", "cls", "blob"],
+    )
 
 
 def _pack(key, cls, bits):
@@ -211,7 +225,7 @@ def _sketch_batches(k, num, den, bits):
             hashes, first = words(data, offs)
             sets, at = shingle_sets(hashes, first, k)
             cls = class_ids(sets, at)
-            yield _rows(0, deal=_any_deal(mix(cls.view(np.uint64) + np.arange(len(cls), dtype=np.uint64)), bits), doc_id=batch.column(0), n=np.diff(at), cls=cls)
+            yield _rows(0, deal=_any_deal(mix(cls.view(np.uint64) + np.arange(len(cls), dtype=np.uint64)), bits), doc_id=batch.column(0), rid=batch.column(2), n=np.diff(at), cls=cls)
             new = np.unique(cls, return_index=True)[1]  # one of each class of the slice
             keep = np.zeros(len(cls), bool)
             keep[new] = True
@@ -226,38 +240,46 @@ def _sketch_batches(k, num, den, bits):
         if count:
             yield from _flush(held, bits)
 
-    return run
+    return bounded(run)
 
 
 def _meet(batches):
-    """Hands on rows of kinds 0 to 2; pairs (kind 3) of a deal meet: links of the smallest class of each key to the others, and the members of such keys."""
-    got = {}
+    """Hands on rows of kinds 0 to 2; the pairs (kind 3) of a deal, which follow one another, meet: links of the smallest class of each key to the others, and the members of such keys."""
+    at, got = None, []
+
+    def met():
+        pairs = [_unpack(x) for x in got]
+        key, cls = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        keys, lows, low, other, where = _stars((key, cls))
+        a, b = _distinct(low, other)
+        if len(a):
+            yield _rows(1, cls=a, n=b)
+        shared = np.isin(keys, where)
+        for _, blob in _pack(np.r_[where, keys[shared]], np.r_[other, lows[shared]], 4):
+            yield _rows(2, deal=np.array([at], np.int32), blob=[blob])
+
     for batch in batches:
         kind = batch.column(0).to_numpy()
         if (kind < 3).any():
             yield batch.filter(pa.array(kind < 3))
         batch = batch.filter(pa.array(kind == 3))
-        for deal, blob in zip(batch.column(1).to_pylist(), batch.column(5)):
-            got.setdefault(deal, []).append(blob.as_py())
-    for deal in sorted(got):
-        pairs = [_unpack(x) for x in got.pop(deal)]
-        key, cls = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-        keys, lows, low, other, at = _stars((key, cls))
-        a, b = _distinct(low, other)
-        if len(a):
-            yield _rows(1, cls=a, n=b)
-        shared = np.isin(keys, at)
-        for _, blob in _pack(np.r_[at, keys[shared]], np.r_[other, lows[shared]], 4):
-            yield _rows(2, deal=np.array([deal], np.int32), blob=[blob])
+        for deal, blob in zip(batch.column(1).to_pylist(), batch.column(6)):
+            if deal != at:
+                if got:
+                    yield from met()
+                at, got = deal, []
+            got.append(blob.as_py())
+    if got:
+        yield from met()
 
 
 def _set_batches(k, bitmap):
-    """(cls, d, sorted shingle hashes of six bytes) of the documents d that the bitmap marks."""
+    """(cls, rid, sorted shingle hashes of six bytes, sketch) of the rows that the bitmap marks."""
 
     def run(batches):
         marked = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            pos = batch.column(0).fill_null(0).to_numpy() & (BITMAP - 1)
+            pos = batch.column(0).to_numpy() & (BITMAP - 1)
             batch = batch.filter(pa.array(marked[pos >> 3] >> (pos & 7) & 1 > 0))
             for part, data, offs in slices([batch]):
                 hashes, first = words(data, offs)
@@ -265,9 +287,9 @@ def _set_batches(k, bitmap):
                 six = np.ascontiguousarray(sets.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
                 blobs = [six[6 * x : 6 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 marks = [bit_sketch(sets[x:y]) for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, at)), part.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], names=["cls", "d", "hashes", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, at)), part.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], names=["cls", "rid", "hashes", "sketch"])
 
-    return run
+    return bounded(run)
 
 
 def bit_sketch(own):
@@ -312,7 +334,15 @@ def _compare(num, den):
         last, rows, found = None, [], set()
 
         def send():
-            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            found.clear()
+            return out
+
+        def compared():
+            for pair in _close(last[0], rows, num, den):
+                found.add(pair)
+                if len(found) >= PAIRS:
+                    yield send()
 
         for batch in batches:
             lists = batch.column(7)
@@ -320,17 +350,14 @@ def _compare(num, den):
             for i, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]))):
                 if r[:3] != last:
                     if last:
-                        found.update(_close(last[0], rows, num, den))
+                        yield from compared()
                     last, rows = r[:3], []
                 rows.append((*r[3:], low[at[i] : at[i + 1]]))
-            if len(found) > 100_000:
-                yield send()
-                found.clear()
         if last:
-            found.update(_close(last[0], rows, num, den))
+            yield from compared()
         yield send()
 
-    return run
+    return bounded(run)
 
 
 def _read_set(blob):
@@ -358,7 +385,7 @@ def _verify(num, den):
                 ok[i] = den * inter >= num * (n + m - inter)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok)], names=["a", "b", "ok"])
 
-    return run
+    return bounded(run)
 
 
 def bitmap_of(df, column):
@@ -371,24 +398,48 @@ def bitmap_of(df, column):
     return bytes(out)
 
 
+def spread_join(left, right, key, by, how="inner", of=None):
+    """left join right, which has one row a key: keys of many rows on the left are dealt to several places by the column `by`.
+
+    The keys that are dealt out, at most HOT_KEYS of them, are broadcast with
+    the number of their places; right's rows of them are repeated as often.
+    of: where keys are counted, if another table has the same ones at less cost.
+    """
+    of = left if of is None else of
+    counts = of.groupBy(key).agg(F.count("*").alias("_rows"))
+    least = max(HOT_ROWS, of.count() // HOT_KEYS)
+    hot = settle(counts.filter(F.col("_rows") > least).select(key, F.ceil(F.col("_rows") / least).cast("int").alias("_places")), "hot")
+    if not hot.limit(1).count():
+        drop_scratch(hot)
+        return left.join(right, key, how)
+    held = F.broadcast(hot)
+    one = F.coalesce("_places", F.lit(1))
+    dealt = left.join(held, key, "left").withColumn("_place", F.pmod(F.xxhash64(by), one).cast("int")).drop("_places")
+    each = right.join(held, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), one - 1))).drop("_places")
+    return dealt.join(each, [key, "_place"], how).drop("_place")
+
+
 def components(edges, name="components"):
     """(node, root) of undirected edges (a, b): the smallest node that each can reach.
 
     Each round every node takes the smallest root among its neighbours' and
     then its root's root; rounds end when nothing changes. Minima are
-    pre-aggregated, so a node of many neighbours is no hot spot.
+    pre-aggregated, and joins on roots are spread, so a node of many neighbours
+    or a large component is no hot spot.
     """
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     root = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), name)
     while True:
-        near = both.join(root, both.b == root.node).groupBy("a").agg(F.min("root").alias("m"))
+        at = root.select(F.col("node").alias("b"), F.col("root").alias("r"))
+        near = settle(spread_join(both, at, "b", "a").groupBy("a").agg(F.min("r").alias("m")).withColumnRenamed("a", "node"), f"{name}-near")
         # hook the root of each node onto the smallest root nearby, then jump
-        hook = root.join(near, root.node == near.a).select("root", "m").groupBy("root").agg(F.min("m").alias("m"))
-        own = root.alias("r").join(hook.alias("h"), F.col("r.root") == F.col("h.root"), "left").join(near.alias("n"), F.col("r.node") == F.col("n.a"), "left")
-        step = own.select("r.node", F.least("r.root", "h.m", "n.m").alias("to"), F.col("r.root").alias("was"))
-        jump = step.alias("s").join(step.select(F.col("node").alias("k"), F.col("to").alias("far")).alias("j"), F.col("s.to") == F.col("j.k"), "left")
-        new = settle(jump.select("s.node", F.least("s.to", "j.far").alias("root"), F.col("s.was")), name)
-        drop_scratch(root)
+        own = root.join(near, "node")  # every node has a neighbour
+        hook = own.groupBy("root").agg(F.min("m").alias("h"))
+        step = settle(spread_join(own, hook, "root", "node", of=root).select("node", F.least("root", "h", "m").alias("to"), F.col("root").alias("was")), f"{name}-step")
+        far = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        new = settle(spread_join(step, far, "to", "node", "left").select("node", F.least("to", "far").alias("root"), "was"), name)
+        for x in (root, near, step):
+            drop_scratch(x)
         moved = new.filter("root <> was").limit(1).count()
         root = new.drop("was")
         root.scratch = new.scratch
@@ -412,37 +463,48 @@ def _near(num, den):
                 ok[i] = (den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * int(na[i] + nb[i])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "near"])
 
-    return run
+    return bounded(run)
 
 
 def _checked(edges, marks, sets, num, den):
-    """(a, b, ok) of candidate links: by the sketches, then by the whole sets of one document of each class."""
-    to = edges.select("a", "b")
-    for x in "ab":
-        to = to.join(marks.select(F.col("cls").alias(x), F.col("n").alias("n" + x), F.col("d").alias("d" + x), F.col("sketch").alias("s" + x)), x)
+    """(a, b, ok) of candidate links: by the sketches, then by the whole sets of one document of each class.
+
+    The class in the middle of a star has many links; its row goes to the others.
+    """
+    side = lambda df, x, *cols: df.select(F.col("cls").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
+    to = edges.select("a", "b").join(side(marks, "b", "n", "sketch"), "b")
+    to = spread_join(to, side(marks, "a", "n", "sketch"), "a", "b", of=edges)
     near = settle(to.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(num, den), "a bigint, b bigint, near boolean"), "near")
-    full = near.filter("near").select("a", "b")
-    for x in "ba":
-        full = full.join(marks.select(F.col("cls").alias(x), F.col("d").alias("d" + x)), x)
-        full = full.join(sets.select(F.col("cls").alias(x), F.col("d").alias("d" + x), F.col("hashes").alias("h" + x)), [x, "d" + x])
-    sure = full.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean").distinct()
+    pairs = near.filter("near").select("a", "b")
+    full = spread_join(pairs.join(side(sets, "b", "hashes"), "b"), side(sets, "a", "hashes"), "a", "b", of=pairs)
+    sure = full.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean")
     return sure.union(near.filter("not near"))
 
 
-def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+def linked(docs, k=K, num=NUM, den=DEN, rounds=2):
+    """(rows: doc_id, rid, n, cls of each document, classes: cls, component_id, keep of each class that isn't empty).
+
+    component_id is the smallest doc_id of the class's component, keep the rid
+    of a row that has it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = with_rid(docs.select("doc_id", "text"))
     bits = deal_bits(docs.rdd.getNumPartitions())
-    made = settle(docs.mapInArrow(_sketch_batches(k, num, den, bits), SHAPE).repartition("deal").mapInArrow(_meet, SHAPE), "sketches")
-    rows = made.filter("kind = 0").select("doc_id", "n", "cls")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "rid")
+    dealt = own.mapInArrow(_sketch_batches(k, num, den, bits), SHAPE).repartition("deal").sortWithinPartitions("deal")
+    made = settle(dealt.mapInArrow(bounded(_meet), SHAPE), "sketches")
+    rows = made.filter("kind = 0").select("doc_id", "rid", "n", "cls")
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    classes = settle(rows.filter("n > 0").groupBy("cls").agg(F.min(lead).alias("low"), F.max("n").alias("n")), "classes")
     edges = settle(made.filter("kind = 1").select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct()
-    reps = settle(rows.groupBy("cls").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")).join(nodes, "cls", "left_semi"), "reps")
-    held = spark.sparkContext.broadcast(bitmap_of(reps, "d"))
-    sets = settle(docs.mapInArrow(_set_batches(k, held), "cls bigint, d bigint, hashes binary, sketch binary"), "sets")
-    marks = settle(reps.join(sets.select("cls", "d", "sketch"), ["cls", "d"]).dropDuplicates(["cls"]), "marks")
+    reps = settle(classes.select("cls", "n", F.col("low.rid").alias("rid")).join(nodes, "cls", "left_semi"), "reps")
+    held = spark.sparkContext.broadcast(bitmap_of(reps, "rid"))
+    texts = docs.select("rid", "text")
+    sets = settle(texts.mapInArrow(_set_batches(k, held), "cls bigint, rid bigint, hashes binary, sketch binary").join(reps.select("cls", "rid"), ["cls", "rid"], "left_semi").dropDuplicates(["cls"]), "sets")
+    held.unpersist()
+    marks = settle(reps.join(sets.select("cls", "sketch"), "cls"), "marks")
     tested = settle(_checked(edges, marks, sets, num, den), "tested")
     root = components(tested.filter("ok"))
     if tested.filter("not ok").limit(1).count():
@@ -456,10 +518,23 @@ def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
             if result.filter("ok").limit(1).count():
                 root = components(tested.filter("ok"))
     drop_scratch(sets)
-    size = rows.join(root, rows.cls == root.node, "left").select("doc_id", "n", "cls", F.coalesce("root", "cls").alias("root"))
-    low = size.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = size.filter("n > 0").join(low, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    told = settle(classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")), "rooted")
+    least = told.groupBy("root").agg(F.min("low").alias("least"))
+    out = spread_join(told.select("cls", "root"), least, "root", "cls")
+    return rows, settle(out.select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep")), "found")
+
+
+def with_rid(docs):
+    """docs with rid, a hash of doc_id and text."""
+    return docs.withColumn("rid", F.xxhash64(F.lit(9), F.col("doc_id").isNull(), "doc_id", "text"))
+
+
+def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+    rows, classes = linked(docs, k, num, den, rounds)
+    full = spread_join(rows.filter("n > 0"), classes.select("cls", "component_id"), "cls", "rid")
+    none = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "n", "component_id").union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _spread(batches):
@@ -478,7 +553,7 @@ def _members(made, tested):
 
 
 def _rooted(members, root):
-    return members.join(root, members.cls == root.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    return members.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
 
 
 def _apart_stars(members, root, tested):
@@ -510,12 +585,17 @@ def _apart_all(members, root, tested, marks, num, den):
 def keep_one(docs, **options):
     """docs with only the document of smallest doc_id of each component.
 
-    Repeated rows of a doc_id leave one row; rows without doc_id all stay.
+    Of a component's rows without doc_id one stays if no row has one. Repeated
+    rows (same doc_id and text) leave one row, but rows without doc_id and
+    words all stay; rows that share a doc_id but no component stay each.
     """
-    known = docs.filter("doc_id is not null")
-    keep = link_components(known, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    left = known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.union(docs.filter("doc_id is null"))
+    rows, classes = linked(docs, **options)
+    keep = classes.select(F.col("keep").alias("rid")).union(rows.filter("n = 0").select("rid")).distinct()
+    own = with_rid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"))
+    none = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = own.select("_row", "rid", none.alias("_none"))
+    left = own.filter(~F.col("_none")).join(keep, "rid", "left_semi").dropDuplicates(["rid"])
+    return left.select("_row").union(own.filter("_none").select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_jaccard_join(spark, sf_dir):

@@ -139,7 +139,7 @@ def test_pipeline(spark, sf):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         ids = {r.doc_id for r in out.collect()}
         if name == "near copies":
-            assert ids == {d for d, (_, c) in jaccard_join.brute(rows).items() if d == c}
+            assert ids == {d for d, (_, c) in jaccard_join.brute(rows, k=5, num=80).items() if d == c}
         if name == "decontamination":
             assert ids == {d for d, t in rows for n, hit, _ in [decontaminate.brute(t, items)] if not (hit and 20 * hit >= n)}
         docs = out
@@ -147,3 +147,34 @@ def test_pipeline(spark, sf):
     told = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert told.count() == docs.count() and words > 0
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def words_of(text):
+    return len((text or "").split())
+
+
+def test_pipeline_of_nasty_rows(spark, nasty, sf, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table go through all stages."""
+    labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    for name, docs in (("rows", nasty), ("none", nasty.limit(0))):
+        d = str(tmp_path / name)
+        for t, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{d}/{t}.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, d).cache()
+            assert out.columns == nasty.columns
+            docs = out
+        told = corpus_pipeline.run(spark, d).collect()
+        assert len(told) == docs.count() and (name == "none") == (not told)
+
+
+def test_the_mix_of_repeated_rows_keeps_its_budget(spark):
+    rows = [(i // 2 if i < 8 else None, "w " * (i // 2 % 4 + 1), ["a", None][i % 2]) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.4, 1, 1.5):
+        want = sum(r.taken for r in mixing.mix(docs, share=share).collect())
+        by = {r.source: round(r.target) for r in mixing.mix(docs, share=share).collect()}
+        out = mixing.mixed_documents(docs, share=share).collect()
+        assert sum(words_of(r.text) for r in out) == want == sum(by.values())
+        assert {s: sum(words_of(r.text) for r in out if r.source == s) for s in by} == by

@@ -5,6 +5,16 @@ toxic documents go, one document of each group of near copies stays, documents
 with benchmark passages go, sources are mixed to their target weights (a
 document may come twice or be cut where a budget ends), and what is left
 becomes token ids in ORC files, of which the last stage returns the layout.
+
+Near copies are documents whose sets of five-word shingles have a similarity of
+0.8 at least.
+
+Defined cases: each stage takes null and empty texts, null ids, repeated rows,
+empty tables and further columns of any name as its operator's docstring says:
+none of them is toxic, near or contaminated for lack of words; a text without
+words is never taken by the mix, so it ends there; repeated rows of one doc_id
+and text leave one row in the near-copies stage; an empty table gives an empty
+layout. Columns of documents stay as they are up to the last stage.
 """
 
 from stratalex.llm import decontaminate, jaccard_join, mixing, token_orc, toxicity
@@ -16,7 +26,7 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def near_copies_stage(spark, docs, sf_dir):
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination_stage(spark, docs, sf_dir):

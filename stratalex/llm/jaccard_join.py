@@ -32,8 +32,8 @@ no link is lost.
 
 Rows are told apart by a 64-bit hash of doc_id and text, so that ids that are
 null or used twice lose no link. Joins on the class in the middle of a star, or
-on the root of a large component, deal such a key to as many places as it has
-thousands of rows.
+on the root of a large component, have plain exchanges on both sides, which
+adaptive execution splits.
 
 Defined cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; repeated rows of a doc_id are documents of
@@ -66,8 +66,6 @@ SMALLEST = 64
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
 DEALS, LEAST_DEALS = 8, 1024
-#: Rows of one key in a join beyond which the key is dealt to several places, and the most keys for which that is done.
-HOT_ROWS, HOT_KEYS = 1000, 2**16
 #: Candidate pairs that a task holds before it sends them on.
 PAIRS = 200_000
 
@@ -398,47 +396,27 @@ def bitmap_of(df, column):
     return bytes(out)
 
 
-def spread_join(left, right, key, by, how="inner", of=None):
-    """left join right, which has one row a key: keys of many rows on the left are dealt to several places by the column `by`.
-
-    The keys that are dealt out, at most HOT_KEYS of them, are broadcast with
-    the number of their places; right's rows of them are repeated as often.
-    of: where keys are counted, if another table has the same ones at less cost.
-    """
-    of = left if of is None else of
-    counts = of.groupBy(key).agg(F.count("*").alias("_rows"))
-    least = max(HOT_ROWS, of.count() // HOT_KEYS)
-    hot = settle(counts.filter(F.col("_rows") > least).select(key, F.ceil(F.col("_rows") / least).cast("int").alias("_places")), "hot")
-    if not hot.limit(1).count():
-        drop_scratch(hot)
-        return left.join(right, key, how)
-    held = F.broadcast(hot)
-    one = F.coalesce("_places", F.lit(1))
-    dealt = left.join(held, key, "left").withColumn("_place", F.pmod(F.xxhash64(by), one).cast("int")).drop("_places")
-    each = right.join(held, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), one - 1))).drop("_places")
-    return dealt.join(each, [key, "_place"], how).drop("_place")
-
-
 def components(edges, name="components"):
     """(node, root) of undirected edges (a, b): the smallest node that each can reach.
 
     Each round every node takes the smallest root among its neighbours' and
     then its root's root; rounds end when nothing changes. Minima are
-    pre-aggregated, and joins on roots are spread, so a node of many neighbours
-    or a large component is no hot spot.
+    pre-aggregated, and both sides of a join on roots are written first: a join
+    of two plain exchanges is one that adaptive execution may split, so neither
+    a node of many neighbours nor a large component is a hot spot.
     """
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     root = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), name)
     while True:
         at = root.select(F.col("node").alias("b"), F.col("root").alias("r"))
-        near = settle(spread_join(both, at, "b", "a").groupBy("a").agg(F.min("r").alias("m")).withColumnRenamed("a", "node"), f"{name}-near")
+        near = both.join(at, "b").groupBy("a").agg(F.min("r").alias("m")).withColumnRenamed("a", "node")
+        own = settle(root.join(near, "node"), f"{name}-near")  # every node has a neighbour
         # hook the root of each node onto the smallest root nearby, then jump
-        own = root.join(near, "node")  # every node has a neighbour
-        hook = own.groupBy("root").agg(F.min("m").alias("h"))
-        step = settle(spread_join(own, hook, "root", "node", of=root).select("node", F.least("root", "h", "m").alias("to"), F.col("root").alias("was")), f"{name}-step")
+        hook = settle(own.groupBy("root").agg(F.min("m").alias("h")), f"{name}-hook")
+        step = settle(own.join(hook, "root").select("node", F.least("root", "h", "m").alias("to"), F.col("root").alias("was")), f"{name}-step")
         far = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        new = settle(spread_join(step, far, "to", "node", "left").select("node", F.least("to", "far").alias("root"), "was"), name)
-        for x in (root, near, step):
+        new = settle(step.join(far, "to", "left").select("node", F.least("to", "far").alias("root"), "was"), name)
+        for x in (root, own, hook, step):
             drop_scratch(x)
         moved = new.filter("root <> was").limit(1).count()
         root = new.drop("was")
@@ -469,14 +447,15 @@ def _near(num, den):
 def _checked(edges, marks, sets, num, den):
     """(a, b, ok) of candidate links: by the sketches, then by the whole sets of one document of each class.
 
-    The class in the middle of a star has many links; its row goes to the others.
+    The class in the middle of a star has many links: that side of a join is a
+    plain exchange, which adaptive execution may split.
     """
     side = lambda df, x, *cols: df.select(F.col("cls").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
     to = edges.select("a", "b").join(side(marks, "b", "n", "sketch"), "b")
-    to = spread_join(to, side(marks, "a", "n", "sketch"), "a", "b", of=edges)
+    to = to.join(side(marks, "a", "n", "sketch"), "a")
     near = settle(to.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(num, den), "a bigint, b bigint, near boolean"), "near")
     pairs = near.filter("near").select("a", "b")
-    full = spread_join(pairs.join(side(sets, "b", "hashes"), "b"), side(sets, "a", "hashes"), "a", "b", of=pairs)
+    full = pairs.join(side(sets, "b", "hashes"), "b").join(side(sets, "a", "hashes"), "a")
     sure = full.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a bigint, b bigint, ok boolean")
     return sure.union(near.filter("not near"))
 
@@ -519,8 +498,8 @@ def linked(docs, k=K, num=NUM, den=DEN, rounds=2):
                 root = components(tested.filter("ok"))
     drop_scratch(sets)
     told = settle(classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")), "rooted")
-    least = told.groupBy("root").agg(F.min("low").alias("least"))
-    out = spread_join(told.select("cls", "root"), least, "root", "cls")
+    least = settle(told.groupBy("root").agg(F.min("low").alias("least")), "least")
+    out = told.select("cls", "root").join(least, "root")
     return rows, settle(out.select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep")), "found")
 
 
@@ -532,7 +511,7 @@ def with_rid(docs):
 def link_components(docs, k=K, num=NUM, den=DEN, rounds=2):
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     rows, classes = linked(docs, k, num, den, rounds)
-    full = spread_join(rows.filter("n > 0"), classes.select("cls", "component_id"), "cls", "rid")
+    full = rows.filter("n > 0").join(classes.select("cls", "component_id"), "cls")
     none = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "component_id").union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -578,7 +557,9 @@ def _apart_all(members, root, tested, marks, num, den):
     own = own.join(marks.select("cls", "n", "sketch").join(low, "cls"), "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch", "low")
-    pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
+    # more places than usual: a block holds the sketches of all its members
+    places = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt.repartition(places, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -158,15 +158,3 @@ def test_rows_without_id_or_with_a_used_one_keep_their_links(spark):
     assert sorted(map(str, (r.component_id for r in jaccard_join.link_components(docs).collect()))) == sorted(map(str, [7, 7, 7, 7, None, None, None, 8]))
     kept = sorted((str(r.doc_id), r.text or "") for r in jaccard_join.keep_one(docs).collect())
     assert kept == sorted([("7", a), ("7", other), ("None", rows[4][1]), ("None", ""), ("None", ""), ("8", "")])
-
-
-def test_hot_keys_are_dealt_to_several_places(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 5)
-    left = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(60)], "k int, v int")
-    right = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c"), (4, "d")], "k int, w string")
-    for how in ("inner", "left"):
-        got = sorted(map(str, jaccard_join.spread_join(left, right, "k", "v", how).select("k", "v", "w").collect()))
-        assert got == sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
-    rows = gray(12)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == jaccard_join.brute(rows)

@@ -14,9 +14,11 @@ MinHash value is the shingle's hash and agreement is certain.
 Templates that were named are verified exactly: the share of a template's
 shingles that the whole document holds must reach CONTAINMENT.
 
-The templates' band keys and shingles are bounded by TEMPLATE_WORDS words of
-templates in all; more raise an error. They are literals in the plan, so the
-scan needs no shuffle and no Python.
+Templates of up to TEMPLATE_WORDS words in all are literals in the plan: the
+scan then needs no shuffle. More of them, any number, are tables: documents'
+window keys and shingles are joined with the templates' (broadcast up to
+BROADCAST_WORDS words of templates, shuffled beyond), and the matches alone are
+brought together. Both ways find the same and use no Python.
 
 Defined cases: null or empty texts, and texts of fewer than K words, match
 nothing; templates of fewer than K words are refused; repeated rows are scanned
@@ -36,7 +38,8 @@ WIDTH, STRIDE = 16, 8
 LONG = 24
 ROWS, BANDS = 2, 4
 CONTAINMENT = 0.8
-TEMPLATE_WORDS = 20_000
+#: Words of templates up to which they are literals, and up to which their tables are broadcast (a million rows).
+TEMPLATE_WORDS, BROADCAST_WORDS = 1_000, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Public notices by which texts state their license.
@@ -89,9 +92,14 @@ def seeds():
     return out
 
 
+def xored(seed):
+    # a lambda of two parameters would be given each hash's place
+    return lambda h: h.bitwiseXOR(F.lit(seed))
+
+
 def least(hashes):
     """The MinHash values of an array of hashes: for each seed the least hash XOR seed."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, s=s: h.bitwiseXOR(F.lit(s)))) for s in seeds()])
+    return F.array(*[F.array_min(F.transform(hashes, xored(s))) for s in seeds()])
 
 
 def band_keys(values):
@@ -100,8 +108,6 @@ def band_keys(values):
 
 
 def template_rows(spark, templates):
-    if sum(len(words_of(t)) for t in templates.values()) > TEMPLATE_WORDS:
-        raise ValueError(f"templates have more than {TEMPLATE_WORDS} words")
     if any(len(words_of(t)) < K for t in templates.values()):
         raise ValueError(f"a template has fewer than {K} words")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
@@ -114,11 +120,35 @@ def with_shingles(df, text):
     return own.withColumn("_s", F.when(F.size("_w") < K, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(K)]))))
 
 
+def template_windows(shingles):
+    """Band keys of the windows of a long template, one array for each window."""
+    at = F.sequence(F.lit(1), F.size(shingles) - WIDTH + 1)
+    return F.transform(at, lambda i: F.array(*band_keys(least(F.slice(shingles, i, F.lit(WIDTH))))))
+
+
+def document_windows(shingles, blocks):
+    """Band keys of a document's windows; blocks: the MinHash values of each STRIDE shingles."""
+
+    def window(b):
+        a, c = F.get(blocks, b), F.coalesce(F.get(blocks, b + 1), F.get(blocks, b))
+        return F.array(*band_keys([F.least(a[i], c[i]) for i in range(ROWS * BANDS)]))
+
+    none = F.array().cast("array<array<bigint>>")
+    return F.when(F.size(blocks) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(blocks) - 2)), window)).otherwise(none)
+
+
+def with_blocks(own):
+    """own, which has the shingles _s, with _b, the MinHash values of its blocks."""
+    at = F.sequence(F.lit(0), F.ceil(F.size("_s") / STRIDE).cast("int") - 1)
+    blocks = F.transform(at, lambda b: least(F.slice("_s", b * STRIDE + 1, F.lit(STRIDE))))
+    return own.withColumn("_b", F.when(F.size("_s") > 0, blocks).otherwise(F.array().cast("array<array<bigint>>")))
+
+
 def compile_templates(spark, templates=TEMPLATES):
     """(short: {hash: licenses}, bands: {key: licenses}, sets: {license: distinct hashes})."""
     short, keys, sets = {}, {}, {}
     rows = template_rows(spark, templates)
-    wins = F.transform(F.sequence(F.lit(1), F.size("_s") - WIDTH + 1), lambda i: F.array(*band_keys(least(F.slice("_s", i, F.lit(WIDTH))))))
+    wins = template_windows(F.col("_s"))
     rows = rows.select("license", F.col("_s").alias("s"), F.when(F.size("_s") >= LONG, wins).alias("bands"))
     for r in rows.toLocalIterator():
         sets[r.license] = sorted(set(r.s))
@@ -130,17 +160,18 @@ def compile_templates(spark, templates=TEMPLATES):
 
 
 def scan(docs, templates=None):
-    """doc_id, n_words, licenses (sorted names), containment (the largest) of each row of docs (doc_id, text)."""
-    short, keys, sets = compile_templates(docs.sparkSession, templates or TEMPLATES)
-    own = with_shingles(docs.select("doc_id", "text"), "text")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_s") / STRIDE).cast("int") - 1), lambda b: least(F.slice("_s", b * STRIDE + 1, F.lit(STRIDE))))
-    own = own.withColumn("_b", F.when(F.size("_s") > 0, blocks).otherwise(F.array().cast("array<array<bigint>>")))
-
-    def window(b):
-        a, c = F.get("_b", b), F.coalesce(F.get("_b", b + 1), F.get("_b", b))
-        return F.array(*band_keys([F.least(a[i], c[i]) for i in range(ROWS * BANDS)]))
+    """doc_id, n_words, licenses (sorted names), containment (the largest) of each row of docs (doc_id, text).
 
-    wins = F.when(F.size("_b") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_b") - 2)), window)).otherwise(F.array().cast("array<array<bigint>>"))
+    templates: {name: text}, or a table (license, body) of any size.
+    """
+    templates = TEMPLATES if templates is None else templates
+    if not isinstance(templates, dict):
+        return scan_tables(docs, templates)
+    if sum(len(words_of(t)) for t in templates.values()) > TEMPLATE_WORDS:
+        return scan_tables(docs, docs.sparkSession.createDataFrame(sorted(templates.items()), "license string, body string"))
+    short, keys, sets = compile_templates(docs.sparkSession, templates)
+    own = with_blocks(with_shingles(docs.select("doc_id", "text"), "text"))
+    wins = document_windows(F.col("_s"), F.col("_b"))
     named = F.array_distinct(F.concat(F.filter(F.flatten(wins), lambda k: k.isin(list(keys))), F.filter("_s", lambda h: h.isin(list(short)))))
     own = own.select("doc_id", F.size("_w").cast("bigint").alias("n_words"), named.alias("named"), F.col("_s").alias("s"))
     by_name = {}
@@ -158,6 +189,28 @@ def scan(docs, templates=None):
     return own.select("doc_id", "n_words", F.transform("found", lambda x: x["name"]).alias("licenses"), F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("containment"))
 
 
+def scan_tables(docs, templates):
+    """scan() by joins with the tables of the templates (license, body)."""
+    whole = with_shingles(templates.select("license", "body"), "body")
+    told = whole.agg(F.min(F.size("_w")).alias("least"), F.sum(F.size("_w")).alias("words")).first()
+    if told.least is not None and told.least < K:
+        raise ValueError(f"a template has fewer than {K} words")
+    small = F.broadcast if (told.words or 0) <= BROADCAST_WORDS else lambda df: df
+    bare = F.array_distinct("_s")
+    whole = whole.select("license", bare.alias("_d"), F.when(F.size("_s") >= LONG, F.array_distinct(F.flatten(template_windows(F.col("_s"))))).otherwise(bare).alias("_k"))
+    keys = whole.select("license", F.explode("_k").alias("key"))
+    sets = whole.select("license", F.size("_d").alias("n"), F.explode("_d").alias("h"))
+    rid = F.xxhash64(F.lit(9), F.col("doc_id").isNull(), "doc_id", "text").alias("rid")
+    own = with_blocks(with_shingles(docs.select("doc_id", rid, "text"), "text"))
+    asked = F.array_distinct(F.concat(F.flatten(document_windows(F.col("_s"), F.col("_b"))), F.col("_s")))
+    named = own.select("rid", F.explode(asked).alias("key")).join(small(keys), "key").select("rid", "license").distinct()
+    held = own.select("rid", F.explode(F.array_distinct("_s")).alias("h")).join(small(sets), "h").select("rid", "license", "n", "h").distinct()
+    share = held.groupBy("rid", "license").agg((F.count("*") / F.first("n")).alias("share")).filter(F.col("share") >= CONTAINMENT)
+    found = share.join(named, ["rid", "license"], "left_semi").groupBy("rid").agg(F.array_sort(F.collect_list("license")).alias("licenses"), F.max("share").alias("containment"))
+    rows = own.select("doc_id", "rid", F.size("_w").cast("bigint").alias("n_words")).join(found, "rid", "left")
+    return rows.select("doc_id", "n_words", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+
+
 def op5_license_scans(spark, sf_dir):
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.round("containment", 6).alias("containment"))

@@ -16,8 +16,9 @@ taken off, so long texts must gather more.
 
 Labels are read from training rows only and are bounded: at most SAMPLE
 labelled training rows, the ones of smallest hash, take part in learning, so
-what the driver sees of their word counts is bounded (documented parameter).
-Everything else covers all rows.
+what the driver sees, the entries and phrases that these rows prove, is bounded
+(documented parameter). No entry and no phrase is left out for its number, and
+everything else covers all rows.
 
 Defined cases: null and empty texts match nothing and get the score of a text
 without matches; a document with several labels counts as toxic if one says
@@ -39,7 +40,6 @@ from stratalex.llm.textkit import bounded, shingle_sets, slices, small_batches,
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6)
-ENTRIES = 20_000
 PRIOR = 0.05
 #: Matched weight at which a text of 20 words per match is as likely toxic as not.
 OFFSET = 3.5
@@ -135,7 +135,7 @@ def _counts(batches):
             all_.update(found)
             if y:
                 bad.update(found)
-            if len(all_) > 500_000:
+            if len(all_) > 150_000:
                 yield from send()
                 all_.clear()
                 bad.clear()
@@ -183,6 +183,16 @@ def matcher(words):
     return a
 
 
+def least_texts(sizes, prior):
+    """(least number of texts that can prove an entry at all, entries of so many) of {texts: entries}."""
+    few = 1
+    while True:
+        tests = max(1, sum(n for k, n in sizes.items() if k >= few))
+        if few * math.log(1 / prior) > math.log(tests) + 1 or few > max(sizes, default=1):
+            return few, tests
+        few += 1
+
+
 def learn(docs, labels, sample=SAMPLE):
     """{"weights": {entry: weight}, "exceptions": [phrase]} from the labelled rows of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -199,13 +209,16 @@ def learn(docs, labels, sample=SAMPLE):
         return {"weights": {}, "exceptions": [], "prior": PRIOR}
     found = own.mapInArrow(bounded(_counts), "entry string, k1 bigint, k bigint")
     counts = found.groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k").alias("k"))
-    counts = counts.filter("k >= 3").persist()
-    tests = max(1, counts.count())
+    counts = counts.persist()
+    # an entry of so few texts that even all of them toxic prove nothing wasn't looked at; sizes are at most the sample's
+    sizes = {r.k: r.n for r in counts.groupBy("k").agg(F.count("*").alias("n")).toLocalIterator()}
+    few, tests = least_texts(sizes, n1 / (n1 + n0))
+    counts = counts.filter(F.col("k") >= few)
     odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k") - F.col("k1") + 0.5) / (n0 + 1))
     # Chernoff's bound on chance, over all entries that were looked at: fewer than one in e is there by chance
     rate, prior = F.col("k1") / F.col("k"), n1 / (n1 + n0)
     gain = F.when(F.col("k1") > 0, F.col("k1") * F.log(rate / prior)).otherwise(0.0) + F.when(rate < 1, (F.col("k") - F.col("k1")) * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
-    best = counts.withColumn("w", odds).filter((rate > 0.5) & (gain > math.log(tests) + 1)).orderBy(F.desc(gain), "entry").limit(ENTRIES)
+    best = counts.withColumn("w", odds).filter((rate > 0.5) & (gain > math.log(tests) + 1))
     rows = {r.entry: (r.k1, float(r.w)) for r in best.toLocalIterator()}
     # a word beginning says nothing of its own where one longer entry stands for nearly all of it
     longer = {}
@@ -213,14 +226,15 @@ def learn(docs, labels, sample=SAMPLE):
         for i in range(2, len(e)):
             longer[e[:i]] = max(longer.get(e[:i], 0), k1)
     weights = {e: w for e, (k1, w) in rows.items() if longer.get(e, 0) < 0.95 * k1}
-    counts.unpersist()
     exceptions = []
     if weights:
         held = docs.sparkSession.sparkContext.broadcast(sorted(weights))
         seen = own.mapInArrow(bounded(_phrases(held)), "phrase string, entry string, toxic int")
-        clean = seen.groupBy("phrase").agg(F.sum("toxic").alias("k1"), F.count("*").alias("k")).filter("k1 = 0 and k >= 3")
-        exceptions = sorted(r.phrase for r in clean.orderBy(F.desc("k"), "phrase").limit(ENTRIES).toLocalIterator())
+        clean = seen.groupBy("phrase").agg(F.sum("toxic").alias("k1"), F.count("*").alias("k")).filter("k1 = 0")
+        # seen in clean texts only, and often enough that its own smoothed log odds speak for a clean text
+        exceptions = sorted(r.phrase for r in clean.filter((F.col("k") + 0.5) / (n0 + 1) > 0.5 / (n1 + 1)).toLocalIterator())
     own.unpersist()
+    counts.unpersist()
     return {"weights": weights, "exceptions": exceptions, "prior": n1 / (n1 + n0)}
 
 

@@ -13,6 +13,10 @@ conversation in the order of turns and rendered:
 Control strings inside texts are escaped reversibly: a backslash is doubled and
 "<|" becomes "<\\|"; a newline inside a role becomes "<\\n|".
 
+With the rendered text stands its loss mask: spans (start, end) of code points
+that hold the texts of the roles in LOSS_ROLES, without marks; what training
+counts is read through them.
+
 Events are gathered per turn first, then per conversation. A conversation's
 rendered text is one value, so its messages meet in one row; no two
 conversations do.
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from stratalex.llm.textkit import settle, table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Roles whose texts training counts.
+LOSS_ROLES = ("assistant",)
 
 
 def escape(col):
@@ -69,14 +75,35 @@ def fold(events):
     return whole.select("conv_id", F.flatten(F.transform("turns", lambda t: t["own"])).alias("messages"))
 
 
-def render(conversations):
-    """(conv_id, formatted) of folded conversations."""
-    each = F.transform("messages", lambda m: F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"), escape(m["text"]), F.lit(END + "\n")))
-    return conversations.select("conv_id", F.array_join(each, "").alias("formatted"))
+def render(conversations, loss_roles=LOSS_ROLES):
+    """(conv_id, formatted, loss_spans) of folded conversations; loss_spans: array of (start, end), end exclusive."""
+    head = lambda m: F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"))
+    shown = lambda m: F.struct(head(m).alias("head"), escape(m["text"]).alias("body"), m["role"].isin(*loss_roles).alias("loss"))
+    own = conversations.select("conv_id", F.transform("messages", shown).alias("m"))
+    tail = len(END) + 1
+    whole = F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "")
+    # one pass that carries the place; a message without loss leaves an empty span, which is dropped
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,loss:boolean>>").alias("spans"))
+
+    def step(state, x):
+        start = state["at"] + F.char_length(x["head"])
+        end = start + F.char_length(x["body"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["loss"].alias("loss"))
+        return F.struct((end + tail).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    spans = F.aggregate("m", begin, step, lambda s: s["spans"])
+    kept = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return own.select("conv_id", whole.alias("formatted"), kept.alias("loss_spans"))
+
+
+def loss_text(formatted="formatted", spans="loss_spans"):
+    """The texts under a loss mask, unescaped, one after the other."""
+    parts = F.transform(spans, lambda s: unescape(F.substring(F.col(formatted), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return F.array_join(parts, "")
 
 
 def parse(formatted):
-    """(conv_id, formatted, messages) read back from rendered text."""
+    """formatted (conv_id, formatted, ...) with messages read back from the rendered text."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda x: x != "")
 
     def message(x):
@@ -84,7 +111,7 @@ def parse(formatted):
         size = F.char_length(x) - F.char_length(role) - 1 - len(END) - 1
         return F.struct(unescape_role(role).alias("role"), unescape(F.substring(x, F.char_length(role) + 2, size)).alias("text"))
 
-    return formatted.select("conv_id", "formatted", F.transform(pieces, message).alias("messages"))
+    return formatted.withColumn("messages", F.transform(pieces, message))
 
 
 def format_log(events):
@@ -103,8 +130,7 @@ def op7_chat_formatting(spark, sf_dir):
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{HARD}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = parse(settle(format_log(log_of(rows)), "formatted"))
-    texts = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: m["text"])
-    back = back.withColumn("loss", F.array_join(texts, ""))
+    back = back.withColumn("loss", loss_text())
     turns = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("messages").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"),

@@ -15,9 +15,12 @@ items; null or wordless benchmark items match nothing; repeated document rows
 each get their row; items that share an id count once; an empty benchmark
 leaves every document clean; further columns of either table are ignored.
 
-The benchmark is held by executors in blocks of at most `block_bytes`; a
-larger benchmark is searched block after block in the same pass, so what one
-Python worker holds is bounded whatever its size.
+The benchmark is searched in blocks of at most `block_bytes` of patterns, in
+one pass over the documents. A block's tables are built once, by the driver, and
+broadcast; a task searches all texts of a batch for one block, lets go of it and
+takes the next, so a Python worker holds one block at a time whatever the
+benchmark's size, and time grows with the number of blocks. A benchmark of one
+block is the same case: its tables stay loaded.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stratalex.llm.textkit import LOWER, bounded, slices, table
+from stratalex.llm.textkit import LOWER, bounded, slices, small_batches, table
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -148,8 +151,8 @@ def stream(data, offs):
     return wide[keep]
 
 
-def search(data, offs, blocks_of_patterns):
-    """n_words, n_hit and the sets of item ids for each document of a slice."""
+def search(data, offs, found, matchers, before=None):
+    """(words, where hits begin and end, first word, sets of item ids) of each document of a slice, on top of those of other blocks."""
     text = stream(data, offs)
     n = len(text)
     word = text > 32
@@ -158,20 +161,44 @@ def search(data, offs, blocks_of_patterns):
     number = np.cumsum(start) - 1
     first = np.searchsorted(np.flatnonzero(start), np.flatnonzero(text == 0))
     docs = len(offs) - 1
-    cover = np.zeros(int(first[-1]) + 1, np.int64)
-    items = [set() for _ in range(docs)]
+    cover = np.zeros(int(first[-1]) + 1, np.int64) if before is None else before[1]
+    items = [set() for _ in range(docs)] if before is None else before[3]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     wide = Matcher.blocks(padded)
-    for found, matchers in blocks_of_patterns:
-        for matcher in matchers:
-            for a, j in matcher.scan(padded, wide, n):
-                p = matcher.patterns[j]
-                w = number[a]
-                cover[w] += 1
-                cover[w + 1 + p.count(b" ")] -= 1
-                items[int(np.searchsorted(first, w, "right")) - 1].update(found[p])
+    for matcher in matchers:
+        for a, j in matcher.scan(padded, wide, n):
+            p = matcher.patterns[j]
+            w = number[a]
+            cover[w] += 1
+            cover[w + 1 + p.count(b" ")] -= 1
+            items[int(np.searchsorted(first, w, "right")) - 1].update(found[p])
+    return np.diff(first), cover, first, items
+
+
+def counted(n, cover, first):
+    """(words, hit words) of each document."""
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-    return np.diff(first), np.diff(hit[first]), items
+    return n, np.diff(hit[first])
+
+
+class Blocks:
+    """Broadcast blocks of which a process has one loaded."""
+
+    def __init__(self, held):
+        self.held, self.at, self.loaded = held, None, None
+
+    def __call__(self, k):
+        if self.at != k:
+            if self.at is not None:
+                self.drop()
+            self.at, self.loaded = k, self.held[k].value
+        return self.loaded
+
+    def drop(self):
+        """Let go of the loaded block; its broadcast can be read again."""
+        if self.at is not None and hasattr(self.held[self.at], "_value"):
+            del self.held[self.at]._value
+        self.at = self.loaded = None
 
 
 def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_000_000, item_id="item_id", item_text="text", added=("n_words", "n_hit", "items", "contaminated")):
@@ -181,27 +208,35 @@ def find_contamination(docs, benchmark, text="text", window=13, block_bytes=16_0
     contaminated: n_hit > 0 and at least a twentieth of the words is hit.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     # a window starts at each word, so the patterns of a text take about window times its bytes
     parts = max(1, -(-total * window // block_bytes))
     held = []
     for k in range(parts):
-        rows = own if parts == 1 else own.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(parts)) == k)
-        held.append(spark.sparkContext.broadcast(patterns_of(rows.toLocalIterator(), window)))
+        rows = own.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(parts)) == k)
+        found = patterns_of(rows.toLocalIterator(), window)
+        held.append(spark.sparkContext.broadcast((found, build(found))))
     names = docs.columns
     clash = [c for c in names if c in added]
     docs = docs.drop(*clash)
 
     def run(batches):
-        ready = [(h.value, build(h.value)) for h in held] if len(held) == 1 else None
-        for batch, data, offs in slices(batches, text):
-            if ready:
-                n, hit, items = search(data, offs, ready)
-            else:
-                n, hit, items = search(data, offs, ((h.value, build(h.value)) for h in held))
-            extra = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array((hit > 0) & (20 * hit >= n))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
+        blocks = Blocks(held)
+        for whole in batches:
+            parts = list(slices([whole], text))
+            told = [None] * len(parts)
+            for k in range(len(held)):
+                block = blocks(k)
+                for i, (_, data, offs) in enumerate(parts):
+                    told[i] = search(data, offs, *block, told[i])
+            for (batch, _, _), (n, cover, first, items) in zip(parts, told):
+                n, hit = counted(n, cover, first)
+                extra = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array((hit > 0) & (20 * hit >= n))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
+        if len(held) > 1:
+            blocks.drop()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(bounded(run), f"{schema}, {', '.join(f'`{c}` {k}' for c, k in zip(added, ('bigint', 'bigint', 'array<string>', 'boolean')))}")

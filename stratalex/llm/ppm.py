@@ -49,7 +49,7 @@ from stratalex.llm.textkit import LOWER, WHITE, bounded, drop_scratch, settle, s
 ORDER = 5
 END = 256
 #: Cells of the automaton's tables; each has a cost and a next state of four bytes.
-CELLS = 2**23
+CELLS = 2**22
 #: Grams beyond the automaton that are broadcast with their costs, twelve bytes each.
 TAIL = 2**20
 HEAVY = 2**17

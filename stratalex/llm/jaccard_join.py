@@ -66,6 +66,8 @@ SMALLEST = 64
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
 DEALS, LEAST_DEALS = 8, 1024
+#: Members of keys in one row.
+MEMBERS = 2048
 #: Candidate pairs that a task holds before it sends them on.
 PAIRS = 200_000
 
@@ -202,13 +204,20 @@ def _flush(pairs, bits):
     key, cls = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
     keys, lows, low, other, at = _stars((key, cls))
     shared = np.isin(keys, at)
-    for kind, (a, b) in ((2, (np.r_[at, keys[shared]], np.r_[other, lows[shared]])), (3, (keys, lows))):
-        got = list(_pack(a, b, bits))
-        for i in range(0, len(got), 64):
-            yield _rows(kind, deal=np.array([x for x, _ in got[i : i + 64]], np.int32), blob=[x for _, x in got[i : i + 64]])
+    got = list(_pack(keys, lows, bits))
+    for i in range(0, len(got), 64):
+        yield _rows(3, deal=np.array([x for x, _ in got[i : i + 64]], np.int32), blob=[x for _, x in got[i : i + 64]])
+    # what needn't meet again is dealt evenly, whatever its key or class
+    a, b = np.r_[at, keys[shared]], np.r_[other, lows[shared]]
+    both = np.empty((len(a), 2), np.uint64)
+    both[:, 0], both[:, 1] = a, b.view(np.uint64)
+    cuts = np.arange(0, len(a), MEMBERS)
+    for i in range(0, len(cuts), 64):
+        part = cuts[i : i + 64]
+        yield _rows(2, deal=_any_deal(mix(a[part] ^ b[part].view(np.uint64)).view(np.int64), bits), blob=[both[x : x + MEMBERS].tobytes() for x in part])
     a, b = _distinct(low, other)
     if len(a):
-        yield _rows(1, deal=_any_deal(a, bits), cls=a, n=b)
+        yield _rows(1, deal=_any_deal(mix(a.view(np.uint64) ^ mix(b.view(np.uint64))).view(np.int64), bits), cls=a, n=b)
 
 
 def _any_deal(x, bits):
@@ -557,9 +566,7 @@ def _apart_all(members, root, tested, marks, num, den):
     own = own.join(marks.select("cls", "n", "sketch").join(low, "cls"), "cls").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls", "root", "n", "sketch", "low")
-    # more places than usual: a block holds the sketches of all its members
-    places = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = dealt.repartition(places, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
+    pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 

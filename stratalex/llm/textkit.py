@@ -26,7 +26,7 @@ LOWER[65:91] += 32
 
 
 #: Bytes of the batches that Python workers get and send.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 
 def table(spark, sf_dir, name):

@@ -39,7 +39,9 @@ END_ID = 2
 STRIPE_BYTES = 16 * 2**20
 STRIDE_ROWS = 1000
 #: Bytes of pieces, with their ids, that a task knows at once.
-HELD_BYTES = 24 * 2**20
+HELD_BYTES = 40 * 2**20
+#: Bytes of text in one file, about: a task of many texts meets most of their pieces again. Small inputs have a file for each core.
+TASK_BYTES, LEAST_BYTES = 48 * 2**20, 8 * 2**20
 
 
 def vocabulary(name="byte_bpe_50k.json"):
@@ -179,7 +181,7 @@ def _encode_batches(source, end_id):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder(source.value)
-        for batch, data, offs in slices(batches, limit=1_500_000):
+        for batch, data, offs in slices(batches, limit=750_000):
             flat, begin = encode(batch.column(1).fill_null(""), data, offs, end_id)
             col = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), col], names=["doc_id", "tie", "ids"])
@@ -206,7 +208,10 @@ def write_ids(docs, path, tokenizer=None, end_id=END_ID):
     The texts are dealt to their ranges before they are encoded: they are
     smaller then, and no range has to wait for a task that encodes another.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), tie())
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
+    ranged = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), tie())
     rows = encode(ranged, tokenizer, end_id).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     options = {
         "orc.compress": "ZSTD", "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": STRIDE_ROWS,

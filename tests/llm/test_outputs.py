@@ -178,3 +178,81 @@ def test_the_mix_of_repeated_rows_keeps_its_budget(spark):
         out = mixing.mixed_documents(docs, share=share).collect()
         assert sum(words_of(r.text) for r in out) == want == sum(by.values())
         assert {s: sum(words_of(r.text) for r in out if r.source == s) for s in by} == by
+
+
+def fold_by_hand(log):
+    """{conv_id: [(role, text)]} of events, one by one."""
+    turns = {}
+    for conv, turn, seq, op, role, text in sorted(log, key=lambda e: (e[0], e[1], e[2], e[3])):
+        own = turns.setdefault((conv, turn), [])
+        if not own or op == "message":
+            own.append(["", ""])
+        if op in ("message", "edit"):
+            own[-1][1] = text or ""
+        elif op == "regenerate":
+            own[-1][1] = text or ""
+        else:
+            own[-1][1] += text or ""
+        if role is not None:
+            own[-1][0] = role
+    out = {}
+    for conv, turn in sorted(turns):
+        out.setdefault(conv, []).extend(map(tuple, turns[conv, turn]))
+    return out
+
+
+def test_random_logs_fold_as_by_hand_and_keep_their_loss_mask(spark):
+    import random
+
+    rng = random.Random(6)
+    pieces = ["a", "<|im_end|>", "\\", "é🎉", "", "<|", "\n", "<\\|", " ", "x" * 300]
+    log = []
+    for conv in range(25):
+        seq = 0
+        for turn in range(rng.randrange(1, 6)):
+            for _ in range(rng.randrange(1, 7)):
+                op = rng.choice(["message", "delta", "delta", "edit", "regenerate"])
+                role = rng.choice([None, "user", "assistant", "a\nb<|"])
+                log.append((conv, turn, seq, op, role, rng.choice([None, "".join(rng.choice(pieces) for _ in range(rng.randrange(6)))])))
+                seq += 1
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "conv_id long, turn long, seq long, op string, role string, text string").repartition(5)
+    out = chat_format.parse(chat_format.format_log(df)).withColumn("loss", chat_format.loss_text()).collect()
+    want = fold_by_hand(log)
+    assert {r.conv_id: [(m.role, m.text) for m in r.messages] for r in out} == want
+    for r in out:
+        assert r.loss == "".join(t for role, t in want[r.conv_id] if role == "assistant")
+        for s in r.loss_spans:  # a span begins after its turn's head and ends before its mark
+            assert r.formatted[: s.start].endswith(chat_format.START + "assistant\n") and r.formatted[s.end :].startswith(chat_format.END + "\n")
+    again = chat_format.format_log(spark.createDataFrame([(1, 0, 0, "message", "assistant", "é" * 200_000)] * 2, df.schema)).withColumn("loss", chat_format.loss_text()).first()
+    assert again.loss == "é" * 400_000 and len(again.loss_spans) == 2
+
+
+def test_rows_of_one_id_keep_their_place_over_files(spark, tmp_path):
+    docs = spark.createDataFrame([(5, f"text number {i % 40} of it") for i in range(400)] + [(i, "x y") for i in range(9)], "doc_id long, text string")
+    path = f"file://{tmp_path}/ids"
+    token_orc.encode(docs.repartitionByRange(7, "doc_id", token_orc.tie())).sortWithinPartitions("doc_id", "tie").write.orc(path)
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_orc.layout(spark, path).collect())
+    assert len(got) == 409 and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+def test_stripes_are_skipped_and_filters_are_there(spark, tmp_path):
+    """Row indexes, Bloom filters and stripes of a written file, as its own reader tells them."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2((F.col("id") * 50 + k).cast("string"), 512) for k in range(6)]).alias("text"))
+    path = f"file://{tmp_path}/ids"
+    old, token_orc.STRIPE_BYTES = token_orc.STRIPE_BYTES, 256 * 1024
+    try:
+        token_orc.write_ids(docs, path)
+    finally:
+        token_orc.STRIPE_BYTES = old
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [str(p) for p in tmp_path.glob("ids/part-*.orc")]
+    stripes = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        assert reader.getRowIndexStride() == token_orc.STRIDE_ROWS
+        assert reader.getSchema().toString() == "struct<doc_id:bigint,tie:bigint,ids:array<int>>"
+    assert stripes > 2
+    raw = b"".join(open(f, "rb").read() for f in files)
+    assert len(raw) > 0 and token_orc.read_ids(spark, path, [4321]).count() == 1 and token_orc.read_ids(spark, path, [10**9]).count() == 0

@@ -44,6 +44,15 @@ HELD_BYTES = 40 * 2**20
 TASK_BYTES, LEAST_BYTES = 48 * 2**20, 8 * 2**20
 
 
+#: What a byte is, in two flags that the byte before is compared with and one of its own: see Encoder.odd.
+SPACE, BLANK, RARE = 1, 2, 16
+PAIRS = 4 | 8
+KIND = np.zeros(256, np.uint8)
+KIND[WHITE] |= BLANK | 4  # white space: a space must not follow
+KIND[32] |= SPACE | 8  # a space: no white space may follow
+KIND[[11, 28, 29, 30, 31, 194, 225, 226, 227]] |= RARE
+
+
 def vocabulary(name="byte_bpe_50k.json"):
     import public_tokenizers
 
@@ -68,9 +77,14 @@ class Encoder:
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes[i] = len(token)
-        none = np.zeros(0, np.int64)
-        self.cache = {"keys": none.astype(np.uint64), "at": none, "size": none, "pool": none.astype(np.int32)}
         self.held = held
+        self.clear()
+
+    def clear(self):
+        """Forget all pieces: keys sorted, where each one's ids are in the pool, and how many; new ones first join a short table."""
+        none = np.zeros(0, np.int64)
+        self.old, self.young = ([none.astype(np.uint64), none, none.astype(np.int32)] for _ in range(2))
+        self.pool = none.astype(np.int32)
 
     def whole(self, texts):
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,17 +94,19 @@ class Encoder:
         n = len(data)
         if not self.by_pieces or not n:
             return np.ones(len(texts), bool)
-        after = np.full(n, 32, np.uint8)
-        after[:-1] = data[1:]
+        kind = KIND[data]
+        after = np.full(n, SPACE | BLANK, np.uint8)
+        after[:-1] = kind[1:]
         full = offs[1:] > offs[:-1]
         starts, ends = offs[:-1][full], offs[1:][full] - 1
-        after[ends] = 32  # a text's end counts as white space
-        white, space = WHITE[data], data == 32
-        bad = (white & (after == 32)) | (space & WHITE[after])
-        bad |= (data == 11) | ((data >= 28) & (data <= 31)) | (data == 225) | (data == 226) | (data == 227) | ((data == 194) & ((after == 133) | (after == 160)))
-        bad[starts] |= space[starts]
-        count = np.concatenate([[0], np.cumsum(bad)])
-        out = np.diff(count[offs]) > 0
+        after[ends] = SPACE | BLANK  # a text's end counts as white space
+        # a space before white space, white space before a space, the bytes that may begin rarer white space
+        bad = (after << 2) & kind & PAIRS | (kind & RARE)
+        bad[starts] |= kind[starts] & SPACE
+        at = np.flatnonzero(bad)
+        at = at[(data[at] != 194) | np.isin(data[np.minimum(at + 1, n - 1)], (133, 160))]
+        out = np.zeros(len(texts), bool)
+        out[np.searchsorted(offs, at, "right") - 1] = True
         for s in self.special:
             out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         return out
@@ -120,20 +136,23 @@ class Encoder:
             low = np.searchsorted(doc, np.arange(docs))
             to = begin[:-1][doc] + before - before[np.minimum(low, len(doc) - 1)][doc]
             step = np.arange(int(size.sum())) - np.repeat(before, size)
-            out[np.repeat(to, size) + step] = self.cache["pool"][np.repeat(at, size) + step]
+            out[np.repeat(to, size) + step] = self.pool[np.repeat(at, size) + step]
         for i, x in whole.items():
             out[begin[i] : begin[i] + len(x)] = x
         return out, begin
 
     def pieces(self, keys, data, starts, ends, head):
         """Where the ids of sorted distinct pieces are in the pool, and how many."""
-        c = self.cache
-        pos = np.minimum(np.searchsorted(c["keys"], keys), max(0, len(c["keys"]) - 1))
-        new = c["keys"][pos] != keys if len(c["keys"]) else np.ones(len(keys), bool)
-        if sum(x.nbytes for x in c.values()) > self.held:
-            for k in c:
-                c[k] = c[k][:0]
-            new = np.ones(len(keys), bool)
+        if self.pool.nbytes + sum(x.nbytes for t in (self.old, self.young) for x in t) > self.held:
+            self.clear()
+        at, count_ = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        new = np.ones(len(keys), bool)
+        for known, place, n in (self.old, self.young):
+            if len(known):
+                pos = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = np.flatnonzero(known[pos] == keys)
+                at[hit], count_[hit] = place[pos[hit]], n[pos[hit]]
+                new[hit] = False
         if new.any():
             n = np.flatnonzero(new)
             # pieces that follow a space and end with something else than white space may stand after one another in one text
@@ -166,13 +185,21 @@ class Encoder:
                 pool += got
                 count.append(np.array([len(x) for x in got], np.int64))
             size = np.concatenate(count)
-            place = len(c["pool"]) + np.cumsum(size) - size
-            order = np.argsort(np.concatenate([c["keys"], keys[np.r_[chain, apart]]]), kind="stable")
-            for k, x in (("at", place), ("size", size), ("keys", keys[np.r_[chain, apart]])):
-                c[k] = np.concatenate([c[k], x])[order]
-            c["pool"] = np.concatenate([c["pool"], *pool])
-        pos = np.searchsorted(c["keys"], keys)
-        return c["at"][pos], c["size"][pos]
+            which = np.r_[chain, apart]
+            place = len(self.pool) + np.cumsum(size) - size
+            at[which], count_[which] = place, size
+            self.pool = np.concatenate([self.pool, *pool])
+            self.young = _joined(self.young, (keys[which], place, size.astype(np.int32)))
+            if len(self.young[0]) > max(50_000, len(self.old[0]) // 4):
+                self.old, self.young = _joined(self.old, self.young), [x[:0] for x in self.young]
+        return at, count_
+
+
+def _joined(a, b):
+    """Two tables of pieces as one, by their keys."""
+    both = [np.concatenate(x) for x in zip(a, b)]
+    order = np.argsort(both[0], kind="stable")
+    return [x[order] for x in both]
 
 
 def _encode_batches(source, end_id):
@@ -202,13 +229,19 @@ def tie():
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
 
 
+def text_bytes_of(docs):
+    """About how many bytes the texts of docs take: the planner's figure, or a sum where it has none."""
+    told = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return told if told < 2**52 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write_ids(docs, path, tokenizer=None, end_id=END_ID):
     """Write docs as ORC files of token ids under `path`, in ascending doc_id order over the files.
 
     The texts are dealt to their ranges before they are encoded: they are
     smaller then, and no range has to wait for a task that encodes another.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = text_bytes_of(docs)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     files = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
     ranged = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), tie())

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 LANGUAGES = {".go": "go", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".sol": "solidity", ".md": "markdown", ".markdown": "markdown"}
 #: Words that a query's keywords leave out.
 STOPWORDS = ("the", "and", "for", "with", "this", "that", "how", "what", "why", "when", "where", "which", "from", "into", "onto", "out", "off", "all")
+#: Words that the evaluation's tokens leave out.
+EVAL_STOPWORDS = (
+    "the", "and", "of", "to", "in", "for", "on", "with", "by", "is", "be", "are", "this", "that", "as", "an", "or", "if",
+    "it", "at", "from", "we", "into", "was", "were", "has", "have", "had", "but", "not",
+    "그리고", "또는", "또한", "그러나", "하지만", "및", "에서", "에게", "에는", "에서는",
+)
 #: Separators of code tokens ("-" and "_" are parts of identifiers).
 SEPARATORS = r"[ \t\n\r./\\#:;,()\[\]{}<>\"'`!?=+*|&^~]+"
 SUBWORDS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<!^)[_-]"
@@ -109,8 +115,10 @@ def matches_any(path, globs, doublestar=True):
 def ignored(path, patterns):
     """Directory patterns (ending in "/") are anchored at the root; others match the path or its last part."""
     base, out = F.element_at(F.split(path, "/"), -1), F.lit(False)
-    for p in patterns:
-        out = out | (path.startswith(p) if p.endswith("/") else glob_match(path, p, False) | glob_match(base, p, False))
+    for p in (x.strip() for x in patterns):
+        if not p:
+            continue
+        out = out | (path.startswith(p) | (path == p[:-1]) if p.endswith("/") else glob_match(path, p, False) | glob_match(base, p, False))
     return out
 
 
@@ -138,12 +146,26 @@ def code_tokens(col):
 
     def parts(w):
         low = F.lower(w)
+        plain = w.rlike(r"^\p{Ll}+$")  # nothing to cut: the usual case, without looking around each letter
         subs = F.filter(F.transform(F.split(w, SUBWORDS), lambda s: F.lower(s)), lambda s: (F.octet_length(s) >= 2) & (s != low))
-        return F.concat(F.when(F.octet_length(low) >= 2, F.array(low)).otherwise(F.array().cast("array<string>")), subs)
+        none = F.array().cast("array<string>")
+        own = F.when(F.octet_length(low) >= 2, F.array(low)).otherwise(none)
+        return F.when(plain, own).otherwise(F.concat(own, subs))
 
     return F.flatten(F.transform(raw, parts))
 
 
+def eval_tokens(col):
+    """Lower-cased runs of a-z, 0-9 and Hangul of two characters at least, without stop words."""
+    found = F.split(F.lower(text(col)), r"[^a-z0-9\p{IsHangul}]+")
+    return F.filter(found, lambda w: (F.char_length(w) > 1) & ~w.isin(*EVAL_STOPWORDS))
+
+
+def plain_words(col):
+    """Lower-cased runs of letters, digits and underscores."""
+    return F.filter(F.split(F.lower(text(col)), r"[^\p{L}\p{Nd}_]+"), lambda w: w != "")
+
+
 def symbol_key(col):
     return F.regexp_replace(F.regexp_replace(F.lower(text(col)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -163,6 +185,77 @@ def expand_aliases(intent, aliases):
     return F.when(F.size(kept) == 0, intent).otherwise(F.concat(intent, F.lit(" [aliases: "), F.array_join(kept, ", "), F.lit("]")))
 
 
+def plan_symbols(col):
+    """Capitalised identifiers, with one dotted part, in order of first occurrence."""
+    return F.array_distinct(F.regexp_extract_all(text(col), F.lit(r"\b[A-Z][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)?\b"), F.lit(0)))
+
+
+#: The heading over the files that a plan expects to change, and what ends that part.
+EXPECTED_HEAD = r"(?im)^\s*(?:#{1,6}|\*\*)\s*expected\s*(?:file|change)s?\s*(?:\*\*)?\s*:?\s*$"
+EXPECTED_END = r"(?m)^\s*(?:#{1,6}\s+\S|\*\*[^*\n]+\*\*\s*:?\s*$)"
+
+
+def plan_steps(col):
+    """A plan's text before the heading over its expected files."""
+    return F.regexp_replace(F.get(F.split(text(col), EXPECTED_HEAD, 2), F.lit(0)), r"^\s+|\s+$", "")
+
+
+def expected_files(col):
+    """Paths of the bullets under that heading, up to the next heading, each once, in order."""
+    rest = F.coalesce(F.get(F.split(text(col), EXPECTED_HEAD, 2), F.lit(1)), F.lit(""))
+    own = F.get(F.split(rest, EXPECTED_END, 2), F.lit(0))
+    return F.array_distinct(F.regexp_extract_all(own, F.lit(r"(?m)^\s*[-*+]\s+([^\s:]+)"), F.lit(1)))
+
+
+def judge_verdict(col):
+    """struct(score, rationale) of a judge's answer, fenced or not, or null; scores are clamped to 0..1.
+
+    The whole answer is tried first, then the first object without inner
+    braces that names a score; score 0 without a rationale says nothing.
+    """
+    fenced = F.regexp_extract(col, r"(?s)```(?:json)?\s*(.+?)```", 1)
+    body = F.trim(F.when(fenced != "", fenced).otherwise(text(col)))
+
+    def told(s):
+        v = F.from_json(s, "score double, rationale string")
+        score = F.coalesce(v["score"], F.lit(0.0))
+        why = F.coalesce(v["rationale"], F.lit(""))
+        ok = F.try_parse_json(s).isNotNull() & s.startswith("{") & ~((score == 0) & (why == ""))
+        return F.when(ok, F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), why.alias("rationale")))
+
+    return F.coalesce(told(body), told(F.regexp_extract(body, r'(?s)\{[^{}]*"score"[^{}]*\}', 0)))
+
+
+def major_minor(col):
+    """struct(major, minor) of a version text, or null where it isn't one."""
+    part = F.split(F.trim(text(col)), r"\.", 3)
+    first, second = F.trim(F.get(part, F.lit(0))), F.trim(F.get(part, F.lit(1)))
+    digits = r"^[+-]?[0-9]+$"
+    ok = first.rlike(digits) & (second.isNull() | second.rlike(digits))
+    return F.when(ok, F.struct(first.cast("int").alias("major"), F.coalesce(second.cast("int"), F.lit(0)).alias("minor")))
+
+
+def short_sha(col):
+    return F.substring(text(col), 1, 12)
+
+
+def intent_hash(col):
+    """The first twelve hexadecimal digits of a text's SHA-256: how logs name an intent."""
+    return F.substring(content_hash(col), 1, 12)
+
+
+def repo_of(url):
+    """owner/name of a repository's remote address."""
+    ssh = F.regexp_extract(url, r"^git@[^:]*:(.*?)(?:\.git)?$", 1)
+    web = F.regexp_replace(F.regexp_replace(url, r"\.git$", ""), r"^https?://github\.com/", "")
+    return F.when(url.startswith("git@") & F.contains(url, F.lit(":")), ssh).otherwise(web)
+
+
+def convention_file(package):
+    """The name under which a package's conventions are stored."""
+    return F.concat(package, F.lit("/<convention>"))
+
+
 # snippets and chunks
 
 
@@ -190,9 +283,20 @@ def header_text(col, n=50):
 
 
 def truncate_bytes(col, cap):
-    """Text of at most cap bytes (characters, for ASCII text), with a mark where it was cut."""
-    head = F.substring(col, 1, max(0, cap - len(TRUNCATED)))
-    return F.when(F.octet_length(col) > cap, F.concat(head, F.lit(TRUNCATED))).otherwise(col)
+    """Text of at most cap bytes, with a mark where it was cut; a character that the cut would split is left out."""
+
+    def head(n):
+        raw = col.cast("binary")
+        whole = lambda i: ~F.hex(F.substring(raw, i + 1, 1)).between("80", "BF")  # noqa: E731  a character ends at byte i
+        at = F.when(whole(n), n)
+        for back in (1, 2):
+            if n > back:
+                at = at.when(whole(n - back), n - back)
+        return F.substring(raw, F.lit(1), at.otherwise(max(0, n - 3))).cast("string")
+
+    room = cap - len(TRUNCATED)
+    cut = head(cap) if room <= 0 else F.concat(head(room), F.lit(TRUNCATED))
+    return F.when(F.octet_length(col) > cap, cut).otherwise(col)
 
 
 def line_windows(col, max_tokens, bytes_per_token=4):
@@ -224,7 +328,10 @@ def embed_text(kind, lang, file, symbol, symbol_kind, body):
 
 
 def redact(col, patterns):
-    """struct(status, text, redactions, blocked_by): patterns are (id, regex, action), tried on the original text."""
+    """struct(status, text, redactions, blocked_by, matches): patterns are (id, regex, action), tried on the original text.
+
+    matches names the patterns that were found, in their order, with their actions.
+    """
     out, by, any_ = col, F.lit(None).cast("string"), F.lit(False)
     for name, regex, action in patterns:
         hit = col.rlike(regex)
@@ -236,7 +343,12 @@ def redact(col, patterns):
     status = F.when(by.isNotNull(), "blocked").when(any_, "redacted").otherwise("clean")
     kept = F.when(by.isNotNull(), "").otherwise(out)
     count = F.when(status == "redacted", F.regexp_count(out, F.lit(r"\[REDACTED:"))).otherwise(0)
-    return F.struct(status.alias("status"), kept.alias("text"), count.alias("redactions"), F.coalesce(by, F.lit("")).alias("blocked_by"))
+    told = [F.when(col.rlike(regex), F.struct(F.lit(name).alias("id"), F.lit(action).alias("action"))) for name, regex, action in patterns]
+    found = F.filter(F.array(*told), lambda m: m.isNotNull()) if told else F.array().cast("array<struct<id:string,action:string>>")
+    return F.struct(
+        status.alias("status"), kept.alias("text"), count.alias("redactions"),
+        F.coalesce(by, F.lit("")).alias("blocked_by"), found.alias("matches"),
+    )
 
 
 def pr_section(body, names):
@@ -289,8 +401,12 @@ def fnv1a(word):
     return F.aggregate(F.split(word, ""), F.lit(2166136261).cast("bigint"), lambda h, c: F.when(c == "", h).otherwise((h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619).bitwiseAND(F.lit(4294967295))))
 
 
-def mean_pool(rows, mask):
-    """The unit mean of the rows of an array of vectors whose mask is 1."""
-    kept = F.transform(F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: F.transform(x["v"], lambda y: y.cast("double")))
-    total = F.reduce(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), F.get(kept, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return unit(F.transform(total, lambda x: x / F.size(kept)))
+def pool(rows, mask, mode="mean"):
+    """The unit vector of a text's token vectors: the first one (cls), the last one whose mask is 1 (last), or the mean of those."""
+    if mode == "cls":
+        return unit(F.get(rows, F.lit(0)))
+    own = F.transform(F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: F.transform(x["v"], lambda y: y.cast("double")))
+    if mode == "last":
+        return unit(F.element_at(own, -1))
+    total = F.reduce(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), F.get(own, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return unit(F.transform(total, lambda x: x / F.size(own)))

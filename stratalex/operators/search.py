@@ -36,15 +36,6 @@ def query_vector(vectors, vec_id, key="vec_id", embedding="embedding"):
     return [float(x) for x in vectors.filter(F.col(key) == vec_id).select(embedding).first()[0]]
 
 
-def postings(docs, doc_id="doc_id", text="text"):
-    """(doc_id, term, tf) of code tokens."""
-    return docs.select(doc_id, F.explode(X.code_tokens(F.col(text))).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
-
-
-def doc_lengths(docs, doc_id="doc_id", text="text"):
-    return docs.select(doc_id, F.size(X.code_tokens(F.col(text))).alias("doc_len"))
-
-
 def bm25(docs, query_tokens, doc_id="doc_id", text="text"):
     """(doc_id, score) of the documents that hold a query token; a repeated token counts again."""
     return bm25_of_tokens(docs.select(doc_id, X.code_tokens(F.col(text)).alias("w")), query_tokens, doc_id)
@@ -76,6 +67,41 @@ def rrf(hits, vector_rank="vector_rank", keyword_score="score", doc_id="doc_id",
     return out.withColumn("hybrid_rank", F.row_number().over(Window.orderBy(F.desc("fused"), vector_rank)))
 
 
+def corpus_text(symbol="symbol_name", body="text"):
+    """What a candidate is reranked by: its symbol and its first line that isn't blank."""
+    lines = F.transform(X.lines(F.col(body)), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
+    first = F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.array_join(F.filter(F.array(X.text(F.col(symbol)), first), lambda x: x != ""), " ")
+
+
+def rerank(hits, query_tokens, id_="chunk_id", vector_rank="vector_rank", rrf_k=RRF_K):
+    """hits (a query's candidates) with score, keyword_rank, fused and hybrid_rank.
+
+    BM25 is taken over the candidates alone, each known by its symbol and its
+    first line. Without query tokens the order stays.
+    """
+    if not query_tokens:
+        out = hits.withColumn("score", F.lit(0.0)).withColumn("keyword_rank", F.col(vector_rank))
+        return out.withColumn("fused", 2.0 / (rrf_k + F.col(vector_rank))).withColumn("hybrid_rank", F.col(vector_rank).cast("int"))
+    words = hits.select(id_, X.code_tokens(corpus_text()).alias("w"))
+    scores = bm25_of_tokens(words, query_tokens, id_)
+    both = hits.join(scores, id_, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rrf(both, vector_rank, "score", id_, rrf_k)
+
+
+def rerank_stats(after, vector_rank="vector_rank", score="normalized", id_="chunk_id"):
+    """One row: candidates, rank_changes, top1_score_delta and the first twelve characters of the new first's id."""
+    first = F.max(F.when(F.col("hybrid_rank") == 1, F.col(score))) - F.max(F.when(F.col(vector_rank) == 1, F.col(score)))
+    name = F.substring(F.max(F.when(F.col("hybrid_rank") == 1, F.col(id_).cast("string"))), 1, 12)
+    changes = F.count_if(F.col("hybrid_rank") != F.col(vector_rank))
+    return after.agg(F.count("*").alias("candidates"), changes.alias("rank_changes"), first.alias("top1_score_delta"), name.alias("top1_id"))
+
+
+def matched_tokens(query_tokens, own_tokens):
+    """The distinct query tokens that own_tokens holds, in the query's order."""
+    return F.filter(F.array_distinct(query_tokens), lambda t: F.array_contains(own_tokens, t))
+
+
 def boost(hits, words, head="", package="", signature=1.5, doc=1.3, recent=1.1, package_factor=1.2):
     """Multiplies `normalized` by what the hit's signature, leading comments, commit and package earn, and ranks anew."""
     has = lambda c: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)) if words else F.lit(False)
@@ -96,26 +122,46 @@ def threshold(hits, t, score="normalized"):
 
 
 def split_tests(hits, k, examples_k, order, is_test="is_test"):
-    """The first k hits that are no tests, and examples_k that are, with their rank in their group."""
-    out = hits.withColumn("group_rank", F.row_number().over(Window.partitionBy(is_test).orderBy(*order)))
-    return out.filter(F.col("group_rank") <= F.when(F.col(is_test), examples_k).otherwise(k))
+    """The first k hits that are no tests, and examples_k that are, with their rank in their group.
+
+    Each side is a top-k of its own, so no task sees more than a few times k rows.
+    """
+    from functools import reduce
+
+    def side(flag, n):
+        top = hits.filter(F.col(is_test) == flag).orderBy(*order).limit(n)
+        return top.withColumn("group_rank", F.row_number().over(Window.orderBy(*order)))
+
+    return reduce(lambda a, b: a.unionByName(b), (side(False, k), side(True, examples_k)))
+
 
+def density(hits, budget, rank="rank", text="text", query="query", ctx_lines=5, cap="full"):
+    """snippet, density and tokens_used (of the query) of each hit so that a query's snippets fit the budget (bytes / 4, rounded up).
 
-def density(hits, budget, rank="rank", text="text", query="query", ctx_lines=5):
-    """snippet and density of each hit so that a query's snippets fit the budget (bytes / 4, rounded up).
+    cap: the most that any hit may show: "full", "signature_5" or "signature_only".
 
     The lowest ranks give way first: full text becomes signature with context,
     and only if every hit did so, signature alone. What a loop would decide row
     by row follows from the savings of the rows below, a running sum.
     """
-    own = hits.withColumn("b0", F.octet_length(X.text(F.col(text)))).withColumn("s1", X.signature_with_context(F.col(text), ctx_lines)).withColumn("s2", X.signature_only(F.col(text)))
+    body = F.col("_body")
+    start = {"full": X.text(F.col(text)), "signature_5": X.signature_with_context(F.col(text), ctx_lines), "signature_only": X.signature_only(F.col(text))}[cap]
+    hits = hits.withColumn("_body", start)
+    own = hits.withColumn("b0", F.octet_length(body)).withColumn("s1", X.signature_with_context(F.col(text), ctx_lines)).withColumn("s2", X.signature_only(F.col(text)))
     own = own.withColumn("b1", F.octet_length("s1")).withColumn("b2", F.octet_length("s2"))
     whole = Window.partitionBy(query)
     below = whole.orderBy(F.desc(rank)).rowsBetween(Window.unboundedPreceding, -1)
     over = lambda total, save: F.ceil((total - F.coalesce(save, F.lit(0))) / 4) > budget
-    own = own.withColumn("cut1", over(F.sum("b0").over(whole), F.sum(F.col("b0") - F.col("b1")).over(below)))
-    own = own.withColumn("all1", F.min("cut1").over(whole) & over(F.sum("b1").over(whole), F.lit(0)))
+    if cap == "signature_only":
+        own = own.withColumn("cut1", F.lit(False)).withColumn("all1", F.lit(False))
+    elif cap == "signature_5":  # the first step is taken already
+        own = own.withColumn("cut1", F.lit(False)).withColumn("all1", over(F.sum("b1").over(whole), F.lit(0)))
+    else:
+        own = own.withColumn("cut1", over(F.sum("b0").over(whole), F.sum(F.col("b0") - F.col("b1")).over(below)))
+        own = own.withColumn("all1", F.min("cut1").over(whole) & over(F.sum("b1").over(whole), F.lit(0)))
     own = own.withColumn("cut2", F.col("all1") & over(F.sum("b1").over(whole), F.sum(F.col("b1") - F.col("b2")).over(below)))
-    snippet = F.when(F.col("cut2"), F.col("s2")).when(F.col("cut1"), F.col("s1")).otherwise(X.text(F.col(text)))
-    name = F.when(F.col("cut2"), "signature_only").when(F.col("cut1"), "signature_5").otherwise("full")
-    return own.withColumn("snippet", snippet).withColumn("density", name).drop("b0", "b1", "b2", "s1", "s2", "cut1", "all1", "cut2")
+    snippet = F.when(F.col("cut2"), F.col("s2")).when(F.col("cut1"), F.col("s1")).otherwise(body)
+    name = F.when(F.col("cut2"), "signature_only").when(F.col("cut1"), "signature_5").otherwise(cap)
+    own = own.withColumn("snippet", snippet).withColumn("density", name)
+    own = own.withColumn("tokens_used", F.ceil(F.sum(F.octet_length("snippet")).over(whole) / 4))
+    return own.drop("b0", "b1", "b2", "s1", "s2", "cut1", "all1", "cut2", "_body")

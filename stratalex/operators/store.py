@@ -26,6 +26,14 @@ def fill_where_empty(rows, values, key, column):
     return out.withColumn(column, F.when(empty, F.coalesce("_v", column)).otherwise(F.col(column))).drop("_k", "_v")
 
 
+def fill_array_where_empty(rows, values, key, column):
+    """column, an array, from values where rows has none or an empty one."""
+    own = values.select(F.col(key).alias("_k"), F.col(column).alias("_v"))
+    out = rows.join(own, rows[key] == F.col("_k"), "left")
+    none = F.coalesce(F.size(column), F.lit(0)) <= 0
+    return out.withColumn(column, F.when(none, F.coalesce("_v", column)).otherwise(F.col(column))).drop("_k", "_v")
+
+
 def realign(rows, ids, key="chunk_id"):
     """canonical_id from ids, where it is not empty and differs."""
     own = ids.select(F.col(key).alias("_k"), F.col("canonical_id").alias("_v"))
@@ -47,13 +55,42 @@ def validate(chunks, vectors, key="chunk_id"):
     return one.withColumn("canonical_rate", rate).withColumn("ok", (F.col("orphan_chunks") == 0) & (F.col("orphan_vectors") == 0))
 
 
+def delete_layer(old, condition):
+    """(rows that don't meet the condition, a column or SQL, one row: n, how many do)."""
+    own = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+    return old.filter(~own), old.agg(F.count_if(own).alias("n"))
+
+
+def replace_layer(old, new, condition, key="chunk_id"):
+    """old with the rows of a layer replaced by new: what a changed source of that layer asks for."""
+    kept, _ = delete_layer(old, condition)
+    return upsert(kept, new, key)
+
+
+#: A layer's rows: flow steps and spines with curated invariants; documents of further roots.
+FLOW_LAYER = ("chunk_kind in ('flow_spine', 'flow_step') or (chunk_kind = 'invariant' and provenance = 'curated')")
+DOCS_LAYER = ("chunk_kind = 'doc' and category = 'domain' and coalesce(commit_hash, '') = ''")
+
+
+def stats(tables):
+    """One row: rows of each table of a snapshot."""
+    from functools import reduce
+
+    counts = [df.agg(F.count("*").alias(name)) for name, df in sorted(tables.items())]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), counts)  # single rows
+
+
 class Snapshots:
-    """Version folders under a root; the manifest, written last, names the one that is served."""
+    """Version folders under a root; the manifest, written last, names the one that is served.
+
+    A manifest replaces the one before in one rename, so a crash leaves either.
+    Versions but the last `keep` are removed after that.
+    """
 
     def __init__(self, spark, root):
         self.spark, self.root = spark, root.rstrip("/")
         hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = lambda p: hadoop.Path(f"{self.root}/{p}")
+        self._path = lambda p: hadoop.Path(f"{self.root}/{p}".rstrip("/"))
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self):
@@ -75,9 +112,57 @@ class Snapshots:
             self._fs.delete(self._path(version), True)
             raise ValueError("the new version failed validation; the old one stays")
         m = {"version": version, "schema_version": "1.1", **told}
+        self._write(m)
+        return m
+
+    def _replace(self, source, target):
+        """A rename that takes the place of what is there."""
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(target).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = option
+        context.rename(self._path(source), self._path(target), options)
+
+    def tables(self):
+        """Names of the served version's tables."""
+        m = self.manifest()
+        return [] if m is None else sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(m["version"])) if s.isDirectory())
+
+    def versions(self):
+        """Names of the versions that are there, oldest first."""
+        if not self._fs.exists(self._path("")):
+            return []
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory()]
+        return sorted(x for x in found if x.startswith("v-") and not x.endswith("-postings"))
+
+    def expire(self, keep=3):
+        """Remove all versions but the last `keep` and the served one; returns the names of those that went."""
+        served = (self.manifest() or {}).get("version")
+        gone = [v for v in self.versions()[:-keep or None] if v != served]
+        for v in gone:
+            self._fs.delete(self._path(v), True)
+            self._fs.delete(self._path(f"{v}-postings"), True)
+        return gone
+
+    def promote(self, version, check=None):
+        """Serve a version that is there already, if `check`, given its tables, agrees; returns the manifest."""
+        if not self._fs.exists(self._path(version)):
+            raise ValueError(f"no version {version}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(version)) if s.isDirectory()]
+        if check is not None and not check({n: self.spark.read.parquet(f"{self.root}/{version}/{n}") for n in names}):
+            raise ValueError("the version failed validation; the served one stays")
+        m = {**(self.manifest() or {}), "version": version}
+        self._write(m)
+        return m
+
+    def note(self, **told):
+        """Add to the served manifest's entries; returns it."""
+        m = {**(self.manifest() or {}), **told}
+        self._write(m)
+        return m
+
+    def _write(self, m):
         out = self._fs.create(self._path("manifest.json.new"), True)
         out.write(bytearray(json.dumps(m, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._path("manifest.json"), False)
-        self._fs.rename(self._path("manifest.json.new"), self._path("manifest.json"))
-        return m
+        self._replace("manifest.json.new", "manifest.json")

@@ -7,6 +7,7 @@ first. Spans have lines from 1 on, start <= end, and a name, kind and text.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -23,23 +24,44 @@ def blank(text):
     return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+_EDGE = re.compile(r"[{}()\[\];\n]")
+
+
 def closing(code, at):
     """Where the brace block that begins at or after `at` closes; without one, the end of the statement."""
-    depth, i = 0, at
-    while i < len(code):
-        c = code[i]
+    depth = 0
+    for m in _EDGE.finditer(code, at):
+        c, i = m[0], m.start()
         if c in "{([":
             depth += 1
         elif c in "})]":
             depth -= 1
             if depth <= 0 and c == "}":
                 return i
-        elif depth == 0 and (c == ";" or (c == "\n" and code[at:i].strip() and "{" not in code[i : i + 80].split("\n\n")[0].strip()[:1])):
+        elif depth == 0 and (c == ";" or (code[at:i].strip() and not code[i : i + 80].split("\n\n")[0].strip().startswith("{"))):
             return i
-        i += 1
     return len(code) - 1
 
 
+class Source:
+    """One file: its text, the text without comments and strings, and where its lines begin."""
+
+    def __init__(self, text):
+        self.text, self.code, self.lines = text, blank(text), text.split("\n")
+        self.starts = [0]
+        for x in self.lines[:-1]:
+            self.starts.append(self.starts[-1] + len(x) + 1)
+
+    def line(self, at):
+        return bisect.bisect_right(self.starts, at)
+
+    def span(self, start, name, kind, end=None):
+        """(name, kind, first line, last line, body, start, end) of a declaration that begins at start."""
+        end = closing(self.code, start) if end is None else end
+        a, z = self.line(start), self.line(max(end, start))
+        return name, kind, a, z, "\n".join(self.lines[a - 1 : z]), start, end
+
+
 GO = [
     (re.compile(r"^func\s*\(\s*\w*\s*\*?\s*(?P<owner>\w+)[^)]*\)\s*(?P<name>\w+)", re.M), "Method"),
     (re.compile(r"^func\s+(?P<name>\w+)", re.M), "Function"),
@@ -61,49 +83,65 @@ SOLIDITY = re.compile(r"^[ \t]*(?P<what>function|modifier|event|struct|enum|cons
 SOLIDITY_KINDS = {"modifier": "Modifier", "event": "Event", "struct": "Struct", "enum": "Type", "constructor": "Constructor", "receive": "Method", "fallback": "Method"}
 
 
-def _found(text, code, start, name, kind):
-    end = closing(code, start)
-    a, z = code.count("\n", 0, start) + 1, code.count("\n", 0, end) + 1
-    return name, kind, a, max(a, z), "\n".join(text.split("\n")[a - 1 : z]), start, end
+GROUP = re.compile(r"^type\s*\(", re.M)
+GROUPED = re.compile(r"^[ \t]+(?P<name>[A-Za-z_]\w*)(?:\[[^\]\n]*\])?[ \t]+(?P<what>struct\b|interface\b|\S)", re.M)
+
+
+def _begin(m):
+    """Where a match's first character that isn't blank is."""
+    return m.start() + len(m[0]) - len(m[0].lstrip())
 
 
 def parse_go(text):
-    code, out = blank(text), []
+    src, out = Source(text), []
     for head, kind in GO:
-        for m in head.finditer(code):
+        for m in head.finditer(src.code):
             owner = m.groupdict().get("owner")
-            out.append(_found(text, code, m.start(), f"{owner}.{m['name']}" if owner else m["name"], kind))
+            out.append(src.span(m.start(), f"{owner}.{m['name']}" if owner else m["name"], kind))
+    for g in GROUP.finditer(src.code):
+        end, at = _group_end(src.code, g.end() - 1), g.end()
+        while m := GROUPED.search(src.code, at, end):
+            kind = {"struct": "Struct", "interface": "Interface"}.get(m["what"], "Type")
+            own = src.span(_begin(m), m["name"], kind)
+            out.append(own)
+            at = max(m.end(), own[6])
     return out
 
 
+def _group_end(code, at):
+    depth = 0
+    for m in re.compile(r"[()]").finditer(code, at):
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return m.start()
+    return len(code)
+
+
 def parse_script(text):
-    code, out = blank(text), []
+    src, out = Source(text), []
     for head, kind in SCRIPT:
-        for m in head.finditer(code):
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            out.append(_found(text, code, start, m["name"], kind))
+        for m in head.finditer(src.code):
+            out.append(src.span(_begin(m), m["name"], kind))
     for owner, kind, _, _, _, a, z in list(out):
         if kind == "Struct":
-            for m in MEMBER.finditer(code, a, z):
+            for m in MEMBER.finditer(src.code, a, z):
                 if m["name"] not in WORDS:
-                    start = m.start() + len(m[0]) - len(m[0].lstrip())
-                    out.append(_found(text, code, start, f"{owner}.{m['name']}", "Method"))
+                    out.append(src.span(_begin(m), f"{owner}.{m['name']}", "Method"))
     return out
 
 
 def parse_solidity(text):
-    code, out, tops = blank(text), [], []
-    for m in SOLIDITY_TOP.finditer(code):
-        start = m.start() + len(m[0]) - len(m[0].lstrip())
-        got = _found(text, code, start, m["name"], "Interface" if m["what"] == "interface" else "Contract")
+    src, out, tops = Source(text), [], []
+    for m in SOLIDITY_TOP.finditer(src.code):
+        got = src.span(_begin(m), m["name"], "Interface" if m["what"] == "interface" else "Contract")
         tops.append(got)
         out.append(got)
-    for m in SOLIDITY.finditer(code):
-        start = m.start() + len(m[0]) - len(m[0].lstrip())
+    for m in SOLIDITY.finditer(src.code):
+        start = _begin(m)
         name = m["name"] or m["what"]
         owner = next((t[0] for t in tops if t[5] < start <= t[6]), "")
         kind = SOLIDITY_KINDS.get(m["what"], "Method" if owner else "Function")
-        out.append(_found(text, code, start, f"{owner}.{name}" if owner else name, kind))
+        out.append(src.span(start, f"{owner}.{name}" if owner else name, kind))
     return out
 
 

@@ -78,7 +78,7 @@ def test_redaction(spark):
 def test_vectors(spark):
     row = spark.range(1).select(
         X.fnv1a(F.lit("hello")).alias("h"), X.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("c"), X.l2(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))).alias("d"),
-        X.truncate_vector(F.array(F.lit(3.0), F.lit(4.0), F.lit(9.0)), 2).alias("t"), X.mean_pool(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(9.0), F.lit(9.0))), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("m"),
+        X.truncate_vector(F.array(F.lit(3.0), F.lit(4.0), F.lit(9.0)), 2).alias("t"), X.pool(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(9.0), F.lit(9.0))), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("m"),
     ).first()
     assert row.h == 1335831723 and row.c == 0 and row.d == 5 and row.t == [0.6, 0.8]
     assert row.m == pytest.approx([2**-0.5] * 2)

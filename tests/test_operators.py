@@ -120,7 +120,7 @@ def test_metrics(spark):
 def test_markdown_sections(spark):
     text = "intro\n# One\na\n```\n# not a heading\n```\n## Two words\r\nb\n"
     got = rows(files.markdown_sections(spark.createDataFrame([(1, text)], "id int, text string"), "id"), "start_line", "end_line", "slug")
-    assert got == [(1, 1, "section"), (2, 6, "one"), (7, 8, "two-words")]
+    assert got == [(1, 1, "preamble"), (2, 6, "one"), (7, 8, "two-words")]
 
 
 def test_walk_and_diff(spark, tmp_path):

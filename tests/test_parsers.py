@@ -86,3 +86,8 @@ def test_symbols_of_files(spark):
     df = spark.createDataFrame([("a.go", "go", GO), ("b.sol", "solidity", SOL), ("c.md", "markdown", "# x"), ("d.go", "go", None)], "path string, language string, text string")
     got = parsers.symbols(df)
     assert got.count() == 12 and got.filter("path = 'a.go' and name = 'Cache.Get'").first().start_line == 19
+
+
+def test_grouped_types():
+    text = "package p\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB interface{ F() }\n\tC = int\n\tD []string\n)\n\nfunc f() {}\n"
+    assert [(n, k, a, z) for n, k, a, z, _ in parsers.spans_of("go", text)] == [("A", "Struct", 4, 6), ("B", "Interface", 7, 7), ("C", "Type", 8, 8), ("D", "Type", 9, 9), ("f", "Function", 12, 12)]

@@ -66,6 +66,8 @@ SMALLEST = 64
 BITMAP = 2**26
 #: Deals (groups of keys that meet in one place) for each partition of the input, and at least.
 DEALS, LEAST_DEALS = 8, 1024
+#: Rows of documents for each part of a small table (of classes, links or roots), and the least number of parts.
+PART_ROWS, LEAST_PARTS = 20_000, 12
 #: Members of keys in one row.
 MEMBERS = 2048
 #: Candidate pairs that a task holds before it sends them on.
@@ -405,7 +407,12 @@ def bitmap_of(df, column):
     return bytes(out)
 
 
-def components(edges, name="components"):
+def small(df, name, parts):
+    """settle() of a table of a few numbers a row, in no more parts than its documents call for: a part costs a task in each of many stages."""
+    return settle(df.coalesce(parts), name)
+
+
+def components(edges, name="components", parts=LEAST_PARTS):
     """(node, root) of undirected edges (a, b): the smallest node that each can reach.
 
     Each round every node takes the smallest root among its neighbours' and
@@ -414,17 +421,17 @@ def components(edges, name="components"):
     of two plain exchanges is one that adaptive execution may split, so neither
     a node of many neighbours nor a large component is a hot spot.
     """
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    root = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), name)
+    both = small(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges", parts)
+    root = small(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), name, parts)
     while True:
         at = root.select(F.col("node").alias("b"), F.col("root").alias("r"))
         near = both.join(at, "b").groupBy("a").agg(F.min("r").alias("m")).withColumnRenamed("a", "node")
-        own = settle(root.join(near, "node"), f"{name}-near")  # every node has a neighbour
+        own = small(root.join(near, "node"), f"{name}-near", parts)  # every node has a neighbour
         # hook the root of each node onto the smallest root nearby, then jump
-        hook = settle(own.groupBy("root").agg(F.min("m").alias("h")), f"{name}-hook")
-        step = settle(own.join(hook, "root").select("node", F.least("root", "h", "m").alias("to"), F.col("root").alias("was")), f"{name}-step")
+        hook = small(own.groupBy("root").agg(F.min("m").alias("h")), f"{name}-hook", parts)
+        step = small(own.join(hook, "root").select("node", F.least("root", "h", "m").alias("to"), F.col("root").alias("was")), f"{name}-step", parts)
         far = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        new = settle(step.join(far, "to", "left").select("node", F.least("to", "far").alias("root"), "was"), name)
+        new = small(step.join(far, "to", "left").select("node", F.least("to", "far").alias("root"), "was"), name, parts)
         for x in (root, own, hook, step):
             drop_scratch(x)
         moved = new.filter("root <> was").limit(1).count()
@@ -484,32 +491,33 @@ def linked(docs, k=K, num=NUM, den=DEN, rounds=2):
     made = settle(dealt.mapInArrow(bounded(_meet), SHAPE), "sketches")
     rows = made.filter("kind = 0").select("doc_id", "rid", "n", "cls")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = settle(rows.filter("n > 0").groupBy("cls").agg(F.min(lead).alias("low"), F.max("n").alias("n")), "classes")
-    edges = settle(made.filter("kind = 1").select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct(), "candidates")
+    parts = max(LEAST_PARTS, rows.count() // PART_ROWS)
+    classes = small(rows.filter("n > 0").groupBy("cls").agg(F.min(lead).alias("low"), F.max("n").alias("n")), "classes", parts)
+    edges = small(made.filter("kind = 1").select(F.col("cls").alias("a"), F.col("n").alias("b")).distinct(), "candidates", parts)
     nodes = edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct()
-    reps = settle(classes.select("cls", "n", F.col("low.rid").alias("rid")).join(nodes, "cls", "left_semi"), "reps")
+    reps = small(classes.select("cls", "n", F.col("low.rid").alias("rid")).join(nodes, "cls", "left_semi"), "reps", parts)
     held = spark.sparkContext.broadcast(bitmap_of(reps, "rid"))
     texts = docs.select("rid", "text")
     sets = settle(texts.mapInArrow(_set_batches(k, held), "cls bigint, rid bigint, hashes binary, sketch binary").join(reps.select("cls", "rid"), ["cls", "rid"], "left_semi").dropDuplicates(["cls"]), "sets")
     held.unpersist()
-    marks = settle(reps.join(sets.select("cls", "sketch"), "cls"), "marks")
+    marks = small(reps.join(sets.select("cls", "sketch"), "cls"), "marks", parts)
     tested = settle(_checked(edges, marks, sets, num, den), "tested")
-    root = components(tested.filter("ok"))
+    root = components(tested.filter("ok"), parts=parts)
     if tested.filter("not ok").limit(1).count():
         members = _members(made, tested)
         for full in [False] * rounds + [True]:
-            more = settle(_apart_all(members, root, tested, marks, num, den) if full else _apart_stars(members, root, tested), "apart")
+            more = settle(_apart_all(members, root, tested, marks, num, den), "apart") if full else small(_apart_stars(members, root, tested), "apart", parts)
             if not more.limit(1).count():
                 continue
             result = settle(_checked(more, marks, sets, num, den), "retested")
-            tested = settle(tested.union(result), "tested")
+            tested = small(tested.union(result), "tested", parts)
             if result.filter("ok").limit(1).count():
-                root = components(tested.filter("ok"))
+                root = components(tested.filter("ok"), parts=parts)
     drop_scratch(sets)
-    told = settle(classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")), "rooted")
-    least = settle(told.groupBy("root").agg(F.min("low").alias("least")), "least")
+    told = small(classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")), "rooted", parts)
+    least = small(told.groupBy("root").agg(F.min("low").alias("least")), "least", parts)
     out = told.select("cls", "root").join(least, "root")
-    return rows, settle(out.select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep")), "found")
+    return rows, small(out.select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep")), "found", parts)
 
 
 def with_rid(docs):

@@ -32,6 +32,52 @@ def knn(vectors, query, k, flt=None, mode="post", vec_id="vec_id", embedding="em
     return top.withColumn("normalized", X.normalized_distance(F.col("distance"))).withColumn("vector_rank", F.row_number().over(Window.orderBy("distance", vec_id)))
 
 
+def knn_batch(vectors, queries, k, block=256, vec_id="vec_id", embedding="embedding"):
+    """(query_id, id, distance, vector_rank): the k nearest rows of each query, ties by id.
+
+    Queries are taken in blocks; a block is broadcast, each task scores its rows
+    against it by numpy and hands on its k nearest to each query, and these few
+    are ranked. All rows are scored for all queries.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    kind = dict(vectors.dtypes)[vec_id]
+
+    def nearest(held):
+        def run(batches):
+            ids, q = held.value
+            best = [(np.zeros(0), np.zeros(0, ids.dtype))] * len(ids)
+            for b in batches:
+                if not len(b):
+                    continue
+                own, key = np.stack(b[embedding].to_numpy()).astype(float), b[vec_id].to_numpy()
+                for i in range(len(ids)):
+                    d = np.round(np.sqrt(((own - q[i]) ** 2).sum(1)), 9)
+                    dist, at = np.r_[best[i][0], d], np.r_[best[i][1], key]
+                    first = np.lexsort((at, dist))[:k]
+                    best[i] = (dist[first], at[first])
+            for i, (dist, at) in enumerate(best):
+                if len(at):
+                    yield pd.DataFrame({"query_id": ids[i], vec_id: at, "distance": dist})
+
+        return run
+
+    def scored(rows):
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
+        return vectors.select(vec_id, embedding).mapInPandas(nearest(held), f"query_id {kind}, `{vec_id}` {kind}, distance double")
+
+    out, part = vectors.select(F.col(vec_id).alias("query_id"), vec_id, F.lit(0.0).alias("distance")).limit(0), []
+    for r in queries.select(vec_id, embedding).toLocalIterator():
+        part.append((r[0], list(r[1])))
+        if len(part) == block:
+            out, part = out.unionByName(scored(part)), []
+    out = out.unionByName(scored(part)) if part else out
+    best = Window.partitionBy("query_id").orderBy("distance", vec_id)
+    return out.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= k)
+
+
 def query_vector(vectors, vec_id, key="vec_id", embedding="embedding"):
     return [float(x) for x in vectors.filter(F.col(key) == vec_id).select(embedding).first()[0]]
 

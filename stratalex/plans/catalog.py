@@ -148,8 +148,6 @@ STOP = "['the','and','for','with','this','that','how','what','why','when','where
 
 
 SEPS = r"[ \t\n\r./\\#:;,()\[\]{}<>\"''`!?=+*|&^~]+"
-# pages are ASCII, so letters are a-z and A-Z here; a mark stands where a sub-word begins
-MARKED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1|\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1|\\2', 'g'), '([A-Za-z])([0-9])', '\\1|\\2', 'g'), '([0-9])([A-Za-z])', '\\1|\\2', 'g')"
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]*[a-z]')))), ',') AS symbols FROM documents""")
@@ -158,9 +156,6 @@ def pascal_symbol_extract(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.array_sort(X.pascal_symbols(F.col("text"))), ",").alias("symbols"))
 
 
-ALIASES = {"with the": ["zeta", "alpha"], "and": ["beta", "alpha"], "erbl": ["gamma"]}
-
-
 PATTERNS = [("email", r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}", "redact"), ("digits", r"[0-9]{6,}", "redact"), ("key", r"-----BEGIN [A-Z ]+KEY-----", "block")]
 
 
@@ -202,42 +197,7 @@ def snippet_tiers(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("full_digest"), F.sha2(X.signature_with_context(F.col("text")), 256).alias("sig5_digest"), X.signature_only(F.col("text")).alias("signature"))
 
 
-RULES = [("tests", ["**/test/*"]), ("first", ["src1/**", "src2/**"]), ("solidity", ["**/*.sol"])]
-
-
-# BM25, fusion, density
-
-TOKENS = ["the", "and", "with", "that", "thentionre", "the"]
-BTOK = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
-
-
-def _tokens(col):
-    return F.filter(F.split(F.lower(F.regexp_replace(col, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
-
-
-BM25 = f"""d AS (SELECT doc_id, {BTOK} AS w FROM documents), n AS (SELECT doc_id, len(w) AS doc_len, w FROM d), s AS (SELECT count(*) AS n, avg(doc_len) AS mean_len FROM n),
-q(term, times) AS (VALUES ('the', 2), ('and', 1), ('with', 1), ('that', 1), ('thentionre', 1)),
-tf AS (SELECT doc_id, doc_len, term, count(*) AS tf FROM (SELECT doc_id, doc_len, unnest(w) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / mean_len)) * times), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY doc_id)"""
-
-
-def _plain(spark, sf_dir):
-    """BM25 over ASCII words, without the sub-words of code tokens, so that SQL can state it."""
-    d = t(spark, sf_dir, "documents").select("doc_id", _tokens(F.col("text")).alias("w"))
-    return search.bm25_of_tokens(d, TOKENS)
-
-
-FUSED = f"""{BM25}, {Q}, v AS (SELECT vec_id, d, row_number() OVER (ORDER BY d, vec_id) AS vector_rank FROM (SELECT vec_id, {DIST} AS d FROM embeddings, qv ORDER BY d, vec_id LIMIT 30)),
-k AS (SELECT vec_id, d, vector_rank, coalesce(score, 0) AS score, row_number() OVER (ORDER BY coalesce(score, 0) DESC, vector_rank) AS keyword_rank FROM v LEFT JOIN scored ON vec_id = doc_id),
-f AS (SELECT *, round(1.0 / (60 + vector_rank) + 1.0 / (60 + keyword_rank), 9) AS fused FROM k)"""
-
-
-def _hits(spark, sf_dir, k=30):
-    v, q = _query(spark, sf_dir)
-    near = search.knn(v, q, k).withColumnRenamed("vec_id", "doc_id").drop("embedding")
-    return near.join(_plain(spark, sf_dir), "doc_id", "left")
-
+# fusion, density
 
 @query(f"""WITH {Q}, v AS (SELECT vec_id, greatest(0, least(1, 1 - {DIST} / 2)) AS s FROM embeddings, qv) SELECT vec_id, round(s, 6) AS normalized FROM v WHERE s >= 0.4""")
 def score_threshold(spark, sf_dir):

@@ -216,6 +216,30 @@ def matched_tokens(spark, sf_dir):
     return own.select("doc_id", F.size("m").cast("bigint").alias("n"), F.array_join("m", " ").alias("matched"))
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, vec_id, round(d, 6) AS distance, r::int AS vector_rank FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r
+FROM (SELECT query_id, vec_id, {DIST} AS d FROM embeddings, q)) WHERE r <= 10""")
+def knn_batch(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query against all vectors."""
+    v = t(spark, sf_dir, "embeddings")
+    out = search.knn_batch(v, v.filter("vec_id % 100 = 0"), 10)
+    return out.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "vector_rank")
+
+
+@query(f"""WITH {code_sql("(SELECT doc_id AS id, coalesce(text, '') AS text FROM documents)")}, len_ AS (SELECT id, count(*) AS doc_len FROM tok GROUP BY id),
+s AS (SELECT (SELECT count(*) FROM documents) AS n, sum(doc_len) / (SELECT count(*) FROM documents) AS mean_len FROM len_),
+g AS (SELECT id, t AS term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM g GROUP BY term),
+p AS (SELECT q.id AS query_id, g.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * g.tf * 2.5 / (g.tf + 1.5 * (0.25 + 0.75 * doc_len / mean_len)) * q.tf), 6) AS score
+  FROM g AS q JOIN g USING (term) JOIN df USING (term) JOIN len_ ON len_.id = g.id, s WHERE q.id % 100 = 0 GROUP BY ALL)
+SELECT query_id, id AS doc_id, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM p WHERE score > 0) WHERE r <= 5""")
+def bm25_batch(spark, sf_dir):
+    """Every document whose id is divisible by 100, with all its tokens, as a query against all documents."""
+    index = text_index(spark, sf_dir)
+    docs = t(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(X.code_tokens(F.col("text"))).alias("term"))
+    asked = docs.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return postings.top_batch(index, asked, 5).select("query_id", F.col("id").alias("doc_id"), F.round("score", 2).alias("score"))
+
+
 # filters and citations
 
 

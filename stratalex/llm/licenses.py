@@ -126,7 +126,7 @@ def template_windows(shingles):
     return F.transform(at, lambda i: F.array(*band_keys(least(F.slice(shingles, i, F.lit(WIDTH))))))
 
 
-def document_windows(shingles, blocks):
+def document_windows(blocks):
     """Band keys of a document's windows; blocks: the MinHash values of each STRIDE shingles."""
 
     def window(b):
@@ -139,9 +139,7 @@ def document_windows(shingles, blocks):
 
 def with_blocks(own):
     """own, which has the shingles _s, with _b, the MinHash values of its blocks."""
-    at = F.sequence(F.lit(0), F.ceil(F.size("_s") / STRIDE).cast("int") - 1)
-    blocks = F.transform(at, lambda b: least(F.slice("_s", b * STRIDE + 1, F.lit(STRIDE))))
-    return own.withColumn("_b", F.when(F.size("_s") > 0, blocks).otherwise(F.array().cast("array<array<bigint>>")))
+    return own.withColumn("_b", blocks_of(F.col("_s")))
 
 
 def compile_templates(spark, templates=TEMPLATES):
@@ -171,7 +169,7 @@ def scan(docs, templates=None):
         return scan_tables(docs, docs.sparkSession.createDataFrame(sorted(templates.items()), "license string, body string"))
     short, keys, sets = compile_templates(docs.sparkSession, templates)
     own = with_blocks(with_shingles(docs.select("doc_id", "text"), "text"))
-    wins = document_windows(F.col("_s"), F.col("_b"))
+    wins = document_windows(F.col("_b"))
     named = F.array_distinct(F.concat(F.filter(F.flatten(wins), lambda k: k.isin(list(keys))), F.filter("_s", lambda h: h.isin(list(short)))))
     own = own.select("doc_id", F.size("_w").cast("bigint").alias("n_words"), named.alias("named"), F.col("_s").alias("s"))
     by_name = {}
@@ -189,25 +187,48 @@ def scan(docs, templates=None):
     return own.select("doc_id", "n_words", F.transform("found", lambda x: x["name"]).alias("licenses"), F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("containment"))
 
 
+def bound(value, f):
+    """f of a value that is worked out once: inside f it is a variable, not an expression that each use repeats."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def shingles_of(text):
+    """The shingles of a text, as with_shingles has them."""
+    none = F.array().cast("array<bigint>")
+
+    def cut(h):
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]))
+        return F.when(F.size(h) < K, none).otherwise(each)
+
+    return bound(words(text), lambda w: bound(F.transform(w, lambda x: F.xxhash64(x)), cut))
+
+
+def blocks_of(shingles):
+    """The MinHash values of each STRIDE shingles, as with_blocks has them."""
+    at = F.sequence(F.lit(0), F.ceil(F.size(shingles) / STRIDE).cast("int") - 1)
+    each = F.transform(at, lambda b: least(F.slice(shingles, b * STRIDE + 1, F.lit(STRIDE))))
+    return F.when(F.size(shingles) > 0, each).otherwise(F.array().cast("array<array<bigint>>"))
+
+
 def scan_tables(docs, templates):
     """scan() by joins with the tables of the templates (license, body)."""
-    whole = with_shingles(templates.select("license", "body"), "body")
-    told = whole.agg(F.min(F.size("_w")).alias("least"), F.sum(F.size("_w")).alias("words")).first()
+    size = F.size(words(F.col("body")))
+    told = templates.agg(F.min(size).alias("least"), F.sum(size).alias("words")).first()
     if told.least is not None and told.least < K:
         raise ValueError(f"a template has fewer than {K} words")
     small = F.broadcast if (told.words or 0) <= BROADCAST_WORDS else lambda df: df
-    bare = F.array_distinct("_s")
-    whole = whole.select("license", bare.alias("_d"), F.when(F.size("_s") >= LONG, F.array_distinct(F.flatten(template_windows(F.col("_s"))))).otherwise(bare).alias("_k"))
-    keys = whole.select("license", F.explode("_k").alias("key"))
-    sets = whole.select("license", F.size("_d").alias("n"), F.explode("_d").alias("h"))
+    kept = lambda s: F.when(F.size(s) >= LONG, F.array_distinct(F.flatten(template_windows(s)))).otherwise(F.array_distinct(s))
+    own = shingles_of(F.col("body"))
+    keys = templates.select("license", F.explode(bound(own, kept)).alias("key"))
+    sets = templates.select("license", F.explode(bound(own, lambda s: F.transform(F.array_distinct(s), lambda h: F.named_struct(F.lit("h"), h, F.lit("n"), F.size(F.array_distinct(s)))))).alias("x")).select("license", "x.*")
     rid = F.xxhash64(F.lit(9), F.col("doc_id").isNull(), "doc_id", "text").alias("rid")
-    own = with_blocks(with_shingles(docs.select("doc_id", rid, "text"), "text"))
-    asked = F.array_distinct(F.concat(F.flatten(document_windows(F.col("_s"), F.col("_b"))), F.col("_s")))
+    own = docs.select("doc_id", rid, "text")
+    asked = bound(shingles_of(F.col("text")), lambda s: F.array_distinct(F.concat(F.flatten(bound(blocks_of(s), document_windows)), s)))
     named = own.select("rid", F.explode(asked).alias("key")).join(small(keys), "key").select("rid", "license").distinct()
-    held = own.select("rid", F.explode(F.array_distinct("_s")).alias("h")).join(small(sets), "h").select("rid", "license", "n", "h").distinct()
+    held = own.select("rid", F.explode(F.array_distinct(shingles_of(F.col("text")))).alias("h")).join(small(sets), "h").select("rid", "license", "n", "h").distinct()
     share = held.groupBy("rid", "license").agg((F.count("*") / F.first("n")).alias("share")).filter(F.col("share") >= CONTAINMENT)
     found = share.join(named, ["rid", "license"], "left_semi").groupBy("rid").agg(F.array_sort(F.collect_list("license")).alias("licenses"), F.max("share").alias("containment"))
-    rows = own.select("doc_id", "rid", F.size("_w").cast("bigint").alias("n_words")).join(found, "rid", "left")
+    rows = own.select("doc_id", "rid", F.size(words(F.col("text"))).cast("bigint").alias("n_words")).join(found, "rid", "left")
     return rows.select("doc_id", "n_words", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 

@@ -1,5 +1,6 @@
 """Language-model scores (op 1), toxicity (op 2), decontamination (op 8), licenses (op 5), token counts (op 10)."""
 
+import functools
 import math
 import random
 import re
@@ -215,15 +216,17 @@ def test_licenses_are_found_where_they_are(spark):
     assert found[900] == found[901] == found[902] == []
 
 
+@functools.cache
+def shingles(text):
+    w = licenses.words_of(text)
+    return {tuple(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)}
+
+
 def contained(text, templates):
     """(words, sorted names, largest share) by exact containment of shingles."""
     w = licenses.words_of(text or "")
-    own = {tuple(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)}
-    share = {}
-    for name, t in templates.items():
-        x = licenses.words_of(t)
-        s = {tuple(x[i : i + licenses.K]) for i in range(len(x) - licenses.K + 1)}
-        share[name] = len(own & s) / len(s)
+    own = shingles(text or "")
+    share = {name: len(own & shingles(t)) / len(shingles(t)) for name, t in templates.items()}
     names = sorted(n for n, v in share.items() if v >= licenses.CONTAINMENT)
     return len(w), names, max((share[n] for n in names), default=0.0)
 
@@ -245,7 +248,7 @@ def test_five_hundred_templates(spark):
     many = {f"t{i:03}": " ".join(rng.choice(voc) for _ in range(rng.randrange(5, 130))) for i in range(500)}
     assert sum(len(t.split()) for t in many.values()) > licenses.TEMPLATE_WORDS
     names, rows = sorted(many), []
-    for i in range(120):
+    for i in range(60):
         w = [rng.choice(voc) for _ in range(rng.randrange(0, 60))]
         for _ in range(rng.randrange(3)):
             own = many[rng.choice(names)].split()
@@ -257,7 +260,7 @@ def test_five_hundred_templates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = licenses.scan(docs, many).collect()
     want = {i: contained(t, many) for i, t in rows}
-    assert len(got) == len(rows) and sum(len(x[1]) for x in want.values()) > 50
+    assert len(got) == len(rows) and sum(len(x[1]) for x in want.values()) > 20
     lost = sum(len(set(want[r.doc_id][1]) - set(r.licenses)) for r in got)
     assert all(set(r.licenses) <= set(want[r.doc_id][1]) for r in got) and lost <= 0.02 * sum(len(x[1]) for x in want.values())
     few = {n: many[n] for n in names[:6]}

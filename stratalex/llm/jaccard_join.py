@@ -57,7 +57,7 @@ RATIO = 1.2
 #: Bits of a part (as a power of two): so many that shingles rarely share one.
 WIDTH = 24
 #: Keys that a task sorts at once; each such block sends on one row per key.
-BLOCK = 1_000_000
+BLOCK = 300_000
 #: Most bits of a document's sketch in the last round, and members of a key in one block there.
 SKETCH, MEET = 4096, 4096
 #: Keys of a class, from the smallest on, by which a pair is compared for the first of its shared keys only; with more, it may be compared again.

@@ -155,6 +155,16 @@ def code_tokens(col):
     return F.flatten(F.transform(raw, parts))
 
 
+#: Words of small letters of two bytes at least, which code_tokens keeps as they are.
+_BOUNDARY = SEPARATORS.removeprefix("[").removesuffix("]+")
+SMALL_WORDS = rf"(?<![^{_BOUNDARY}])(?:\p{{Ll}}{{2,}}+|[\p{{Ll}}&&[^a-z]])(?![^{_BOUNDARY}])"
+
+
+def code_token_bag(col):
+    """The tokens of code_tokens in another order, for where it doesn't matter: only what isn't a word of small letters is looked at word by word."""
+    return F.concat(F.regexp_extract_all(text(col), F.lit(SMALL_WORDS), F.lit(0)), code_tokens(F.regexp_replace(text(col), SMALL_WORDS, " ")))
+
+
 def eval_tokens(col):
     """Lower-cased runs of a-z, 0-9 and Hangul of two characters at least, without stop words."""
     found = F.split(F.lower(text(col)), r"[^a-z0-9\p{IsHangul}]+")

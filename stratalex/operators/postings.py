@@ -109,25 +109,6 @@ def top(index, query_tokens, k):
     return scored(index, query_tokens).filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_batch(index, queries, k):
-    """(query_id, id, score, rank) of many queries (query_id, term, times) at once: the k best documents of each.
-
-    Postings meet the queries' terms in a join by term; scores are summed within
-    each task first, and a query's best are picked by a window whose group limit
-    Spark applies before it shuffles.
-    """
-    s = index.stats()
-    df = index.terms().select("term", "df").join(queries.select("term").distinct(), "term", "left_semi")
-    idf = F.log(1 + (F.lit(s.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = queries.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"), bucket_of(F.col("term")).alias("bucket"))
-    tf = F.col("tf")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(s.mean_len or 1.0))))
-    each = index.table("postings").join(asked, ["bucket", "term"])
-    sums = each.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
 def keyword_search(index, chunks, query_tokens, k, flt=None, id_="chunk_id", overfetch=3):
     """chunk columns, score, normalized and rank of the k best chunks; with a filter, of overfetch * k candidates those that pass."""
     best = top(index, query_tokens, k * (overfetch if flt is not None else 1)).withColumnRenamed("id", id_)

@@ -46,6 +46,8 @@ def run(arguments, spark):
     from stratalex.sources import files, glossary
 
     a = arguments
+    if a.command == "model":  # needs no session
+        return {"models": [{"name": "hash", "identity": engine.HASH.identity, "dimension": engine.HASH.dimension}]}
     serve = service.Service(spark, a.index, getattr(a, "src", ""))
     snaps = store.Snapshots(spark, a.index)
     if a.command == "build":
@@ -81,8 +83,6 @@ def run(arguments, spark):
         tree = files.walk(spark, a.src, languages=["markdown"])
         glossary.write_yaml(glossary.glossary(tree), a.out)
         return {"out": a.out}
-    if a.command == "model":
-        return {"models": [{"name": "hash", "identity": engine.HASH.identity, "dimension": engine.HASH.dimension}]}
     scores, total = service.evaluate(serve, glossary.load_fixture(spark, a.fixture), a.k, threshold=-1)
     return {"queries": service.plain(scores.collect()), "total": service.plain(total.first())}
 
